@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import prepare_workers
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
@@ -134,7 +134,7 @@ def store_payload(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty. Rows keep their ids, null and repeated ones too.
     """
-    small_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def describe_media(df: DataFrame, media_col: str = "media", tile: int = 32) -> D
 
     Columns of those names are replaced. Repeated images have equal results.
     """
-    small_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     new = ["width", "height", "channels", "samples", "tile", "dhash"]
     kept = [c for c in df.columns if c not in [*new, media_col]]
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + f"{', ' if kept else ''}`{media_col}` binary, "
