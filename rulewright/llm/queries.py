@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import media, sharding
+from . import media, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_media": media.op2,
+    "op6_quality": quality.op6,
 }
 
 ORACLE_SQL: dict[str, str] = {}
