@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import media, quality, sharding
+from . import language, media, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_media": media.op2,
+    "op4_toxicity": toxicity.op4,
     "op6_quality": quality.op6,
+    "op10_language": language.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
