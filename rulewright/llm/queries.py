@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import bytebpe, language, media, packing, quality, sharding, toxicity
+from . import bytebpe, language, media, packing, passages, quality, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1,
     "op2_media": media.op2,
     "op3_packing": packing.op3,
     "op4_toxicity": toxicity.op4,
+    "op5_passages": passages.op5,
     "op6_quality": quality.op6,
     "op7_bytebpe": bytebpe.op7,
     "op10_language": language.op10,
