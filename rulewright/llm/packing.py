@@ -13,6 +13,7 @@ pieces share is no hot key.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import unicodedata
 import zlib
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare_workers
 
-#: Words whose ids a worker remembers, and pieces ranked in one group.
-MEMO, GROUP = 400_000, 500_000
+#: Words after which a worker's memo grows old (it keeps the one before, too), and pieces ranked in one group.
+MEMO, GROUP = 200_000, 500_000
 _TOKENIZERS: dict[int, WordTokens] = {}
 
 _KNOWN = [c for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] if c != 0x130]
@@ -45,28 +46,59 @@ class WordTokens:
 
     def __init__(self, json: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tool = Tokenizer.from_str(json)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         letters, numbers = _class("L"), _class("N")
         space = "\t\n\x0b\x0c\r \x85\xa0"
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
+        self.split = re.compile(f"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{numbers}]|[^{space}{letters}{numbers}]+").findall
+        self.split_ascii = re.compile(r"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r a-z0-9]+").findall
+        vocabulary = self.tool.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.odd = re.compile("[^" + "".join(re.escape(chr(c)) for c in _KNOWN) + "]").search
+        self.bare = Tokenizer(self.tool.model)  # for words that are normal and split already
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the memo before this one
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words encoded together, a thousand as one text, and told apart by their last tokens."""
+        out: list[bytes] = []
+        groups = [words[a : a + 1000] for a in range(0, len(words), 1000)]
+        for some, made in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(some) or (len(ends) and ends[-1] != 4 * len(ids)):
+                out += self._encode(some)
+                continue
+            data, start = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(data[start:end])
+                start = end
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if not self.odd(t)]
-        words = [self.split(texts[i].lower()) for i in plain]
+        plain, words = [], []
+        for i, t in enumerate(texts):
+            if t.isascii():
+                plain.append(i)
+                words.append(self.split_ascii(t.lower()))
+            elif not self.odd(t):
+                plain.append(i)
+                words.append(self.split(t.lower()))
         distinct = set().union(*words) if words else set()
-        new = [w for w in distinct if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(distinct)
-        self.memo.update(zip(new, self._encode(new), strict=True))
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        unseen = distinct.difference(self.memo)
+        self.memo.update((w, self.old[w]) for w in unseen.intersection(self.old))
+        new = list(unseen.difference(self.old))
+        self.memo.update(zip(new, self._encode_words(new), strict=True))
         ids = self.memo.__getitem__
         for i, w in zip(plain, words, strict=True):
             out[i] = b"".join(map(ids, w))
@@ -88,6 +120,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         key = zlib.crc32(sent.value.encode())
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = WordTokens(sent.value)
