@@ -7,10 +7,13 @@ Exact, for whole texts, by suffix sorting of those parts of the corpus that can
    reduced to its anchors: hash, hash of the segment's bytes, place. Equal texts count once, with their number.
 2. An anchor hash seen once holds no repeat. One seen only with equal segments is repeated throughout.
    What is left are anchors seen with different segments; one example of each such segment is kept.
-3. Segments are dealt by anchor hash to shards, whose suffixes are sorted by external induced sorting; neighbours with
-   a common prefix of ``width`` or more are repeats. Shards get SHARD bytes or so. A hash with more than HOT
-   different segments is no shard's: its strings are counted one by one by their hashes.
-4. Removed runs are the union of repeated strings; texts that have any are cut, others keep their bytes.
+3. These are divided into parts of CHUNK starts at fixed distances from the anchor. All strings of a part share a core,
+   and equal strings have equal cores, so step 2 is taken again with cores for anchors: mostly parts at the
+   edge of a repeat are left.
+4. Parts are dealt by core to shards, whose suffixes are sorted by external induced sorting; neighbours with a common
+   prefix of ``width`` or more are repeats. Shards get SHARD bytes or so. A core with more than HOT different
+   parts is no shard's: its strings are counted one by one by their hashes.
+5. Removed runs are the union of repeated strings; texts that have any are cut, others keep their bytes.
 
 Texts are shuffled only if they have a segment to sort or a byte to remove: Bloom filters of fixed size tell, and what
 they let through in error is dropped by a join. 64-bit hashes stand for 64-byte strings and pairs of them for texts.
@@ -31,7 +34,8 @@ from .common import U64, materialize, mix, powers, prefix_hashes, prepare_worker
 from .inducedsort import repeated
 
 GRAM = 64
-SHARD, HOT = 24 << 20, 20_000
+CHUNK = 48
+SHARD, HOT = 4 << 20, 5_000
 #: Bits of a Bloom filter, and of each part of it that a task builds.
 BLOOM_BITS, BLOOM_PART = 1 << 24, 1 << 15
 _SLICE = 2 << 20
@@ -43,7 +47,7 @@ def keys(text: Column) -> list[Column]:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, segment hash, first start in the text, starts) of every segment, in order."""
+    """(text, anchor hash, segment hash, first start in the text, anchor less first start, starts) of every segment, in order."""
     window = width - GRAM + 1
     out = []
     for a in range(0, len(raw), _SLICE):
@@ -74,9 +78,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
         stop = np.minimum(stop, offsets[text[first] + 1] - width + 1 - a)
         size = stop - first + width - 1
         seg = mix((sums[first + size] - sums[first]) * down[first] + size.astype(U64))
-        out.append((text[first], gram[anchor[first]], seg, first + a - offsets[text[first]], stop - first))
+        out.append((text[first], gram[anchor[first]], seg, first + a - offsets[text[first]], anchor[first] - first, stop - first))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, t) for t in (np.int64, U64, U64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -85,14 +89,14 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 
 
 def _reduce(docs: DataFrame, width: int) -> DataFrame:
-    """(k1, k2, gram, seg, at arrays) of each row with an anchor; at is first start * 1024 + starts."""
+    """(k1, k2, gram, seg, at arrays) of each row with an anchor; at packs first start, anchor less first start (10 bits) and starts (10 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(2))
-            text, gram, seg, first, starts = anchors(raw, offsets, width)
+            text, gram, seg, first, ahead, starts = anchors(raw, offsets, width)
             bounds = np.searchsorted(text, np.arange(len(offsets)))
-            lists = [_lists(x.view(np.int64), bounds) for x in (gram, seg, first << 10 | starts)]
+            lists = [_lists(x.view(np.int64), bounds) for x in (gram, seg, first << 20 | ahead << 10 | starts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["k1", "k2", "gram", "seg", "at"]).filter(pa.array(np.diff(bounds) > 0))
 
     if width - GRAM + 1 > 1023:
@@ -120,21 +124,64 @@ def bloom(wanted: DataFrame) -> np.ndarray:
     return out
 
 
+def hits(bits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which keys a Bloom filter lets through."""
+    p = np.mod(wanted, BLOOM_BITS)
+    return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _texts(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
     """(k1, k2, text), a row per distinct text that the filter lets through."""
     sent = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.mod(batch.column(0).to_numpy(), BLOOM_BITS)
-            yield batch.filter(pa.array((sent.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)))
+            yield batch.filter(pa.array(hits(sent.value, batch.column(0).to_numpy())))
 
     passed = docs.select(*keys(F.col("text")), F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 long, text binary")
     return passed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
+def parts_of(raw: np.ndarray, offsets: np.ndarray, ahead: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(segment, core hash, part hash, first start in the segment, starts) of the parts of segments' bytes."""
+    starts = np.diff(offsets) - width + 1
+    low, high = np.maximum(0, -(-(ahead - starts + 1 - CHUNK + 1) // CHUNK)), ahead // CHUNK
+    count = high - low + 1
+    row = np.repeat(np.arange(len(starts)), count)
+    j = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    first = np.maximum(0, ahead[row] - j * CHUNK - CHUNK + 1)
+    last = np.minimum(starts[row] - 1, ahead[row] - j * CHUNK)
+    sums, down = prefix_hashes(raw), powers("down", len(raw) + 1)
+    core = offsets[:-1][row] + ahead[row] - j * CHUNK
+    at, size = offsets[:-1][row] + first, last - first + width
+    cores = mix((sums[core - CHUNK + 1 + width] - sums[core]) * down[core] + j.astype(U64))
+    return row, cores, mix((sums[at + size] - sums[at]) * down[at] + size.astype(U64)), first, last - first + 1
+
+
+def _parts(segments: DataFrame, width: int, bits: np.ndarray | None = None) -> DataFrame:
+    """(core, part, k1, k2, first, starts[, bytes]) of segments (k1, k2, first, ahead, bytes); with bits, of the cores these let through."""
+    sent = None if bits is None else segments.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column(4))
+            row, core, part, first, starts = parts_of(raw, offsets, batch.column(3).to_numpy(), width)
+            names, extra = ["core", "part", "k1", "k2", "first", "starts"], []
+            if sent is not None:
+                ok = hits(sent.value, core.view(np.int64))
+                row, core, part, first, starts = (x[ok] for x in (row, core, part, first, starts))
+                at = offsets[:-1][row] + first
+                extra = [pa.array([raw[a:b].tobytes() for a, b in zip(at, at + starts + width - 1, strict=True)], pa.binary())]
+                names = [*names, "bytes"]
+            columns = [core.view(np.int64), part.view(np.int64), batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], batch.column(2).to_numpy()[row] + first, starts]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *extra], names)
+
+    types = "core long, part long, k1 long, k2 long, first long, starts long" + ", bytes binary" * (bits is not None)
+    return segments.select("k1", "k2", "first", "ahead", "bytes").mapInArrow(run, types)
+
+
 def _shard_repeats(segments: DataFrame, width: int, shards: int) -> DataFrame:
-    """(k1, k2, first, starts) of repeated strings, from (gram, k1, k2, first, bytes); shards are sorted side by side."""
+    """(k1, k2, first, starts) of repeated strings, from (core, k1, k2, first, bytes); shards are sorted side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -153,7 +200,7 @@ def _shard_repeats(segments: DataFrame, width: int, shards: int) -> DataFrame:
         columns = [whole["k1"].take(at).combine_chunks(), whole["k2"].take(at).combine_chunks(), pa.array(base + np.array(first, np.int64)), pa.array(starts, pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "first", "starts"])
 
-    dealt = segments.repartition(shards, "gram").select("k1", "k2", "first", "bytes")
+    dealt = segments.repartition(shards, "core").select("k1", "k2", "first", "bytes")
     return dealt.mapInArrow(run, "k1 long, k2 long, first long, starts long")
 
 
@@ -195,18 +242,27 @@ def find_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     found = materialize(kinds.join(repeats, "gram"), "repeated-anchors")
 
     direct = spread.join(found.where("n > 1").select("gram", "seg"), ["gram", "seg"])
-    direct = direct.select("k1", "k2", F.shiftright("at", 10).alias("first"), F.col("at").bitwiseAND(F.lit(1023)).cast("long").alias("starts"))
+    direct = direct.select("k1", "k2", F.shiftright("at", 20).alias("first"), F.col("at").bitwiseAND(F.lit(1023)).alias("starts"))
 
-    open_ = found.where("kinds > 1").select("gram", "kinds", "example.*")
-    wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "at", (F.col("kinds") > HOT).alias("hot"))).alias("parts"))
+    wanted = found.where("kinds > 1").select("example.*").groupBy("k1", "k2").agg(F.collect_list("at").alias("ats"))
     wanted = materialize(wanted, "open-segments")
-    size = wanted.select(F.explode("parts").alias("p")).agg(F.sum(F.col("p.at").bitwiseAND(F.lit(1023)) + width - 1)).first()[0] or 0
-    segments = _texts(docs, bloom(wanted)).join(wanted, ["k1", "k2"]).select("k1", "k2", "text", F.explode("parts").alias("p"))
-    first = F.shiftright("p.at", 10)
-    piece = F.expr(f"substring(text, CAST(shiftright(p.at, 10) AS INT) + 1, CAST((p.at & 1023) AS INT) + {width - 1})")
-    segments = materialize(segments.select("p.gram", "p.hot", "k1", "k2", first.alias("first"), piece.alias("bytes")), "segments")
+    segments = _texts(docs, bloom(wanted)).join(wanted, ["k1", "k2"]).select("k1", "k2", "text", F.explode("ats").alias("at"))
+    piece = F.expr(f"substring(text, CAST(shiftright(at, 20) AS INT) + 1, CAST(at & 1023 AS INT) + {width - 1})")
+    ahead = F.shiftright("at", 10).bitwiseAND(F.lit(1023))
+    segments = materialize(segments.select("k1", "k2", F.shiftright("at", 20).alias("first"), ahead.alias("ahead"), piece.alias("bytes")), "segments")
+
+    parts = materialize(_parts(segments, width), "parts")
+    kinds = parts.groupBy("core", "part").agg(F.count(F.lit(1)).alias("n"))
+    cores = kinds.groupBy("core").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1).select("core", "kinds")
+    found = materialize(kinds.join(cores, "core"), "repeated-parts")
+    equal = parts.join(found.where("n > 1").select("core", "part"), ["core", "part"]).select("k1", "k2", "first", "starts")
+    open_ = found.where("kinds > 1").select("core", "part", (F.col("kinds") > HOT).alias("hot"))
+    shown = _parts(segments, width, bloom(open_.select(F.col("core").alias("k1")))).groupBy("core", "part")
+    shown = shown.agg(F.first(F.struct("k1", "k2", "first", "bytes")).alias("x")).join(open_, ["core", "part"])
+    shown = materialize(shown.select("core", "hot", "x.*"), "open-parts")
+    size = shown.agg(F.sum(F.octet_length("bytes") + 1)).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD))
-    marks = direct.unionByName(_shard_repeats(segments.where("NOT hot"), width, shards)).unionByName(_counted_repeats(segments.where("hot"), width))
+    marks = direct.unionByName(equal).unionByName(_shard_repeats(shown.where("NOT hot"), width, shards)).unionByName(_counted_repeats(shown.where("hot"), width))
     marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.col("first") * (1 << 20) + F.col("starts")).alias("places"))
     copies = texts.where("n > 1").select("k1", "k2", F.lit(True).alias("whole"))
     return marks.join(copies, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", F.lit(False)).alias("whole"), "places")

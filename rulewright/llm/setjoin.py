@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, materialize, mix, prepare_workers, shingles, text_buffers
 from .graph import components
-from .passages import BLOOM_BITS, bloom
+from .passages import bloom, hits
 
 
 def allowance(total: int, percent: int) -> int:
@@ -73,7 +73,7 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int) -> tuple
         before = np.cumsum(count, axis=1) - count
         start = offsets[:-1][mine][:, None] + before
         value = sums[start + count] - sums[start]
-        value = mix(value + U64(parts) * U64(0xD1342543DE82EF95) + np.arange(parts, dtype=U64) * U64(0xAF251AF3B0F025B5))
+        value = mix(value + U64(parts * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF) + np.arange(parts, dtype=U64) * U64(0xAF251AF3B0F025B5))
         need = allowance(2 * top, percent) + 1
         listed = (count > 0) | ((count == 0).sum(axis=1) > parts - need)[:, None]
         row, col = np.nonzero(listed)
@@ -105,11 +105,6 @@ def describe_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_
     return docs.select(F.col(id_col), F.col("text")).mapInArrow(run, f"doc_id {kind}, size long, sid long, sig array<long>, at array<long>")
 
 
-def _hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    p = np.mod(keys, BLOOM_BITS)
-    return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _listings(sets: DataFrame, filter_bits: np.ndarray) -> DataFrame:
     """(sig, sid, position, most) of the listings that the filter lets through."""
     sent = sets.sparkSession.sparkContext.broadcast(filter_bits)
@@ -118,7 +113,7 @@ def _listings(sets: DataFrame, filter_bits: np.ndarray) -> DataFrame:
         for batch in batches:
             sig, at = batch.column(1), batch.column(2).flatten().to_numpy()
             row, sig = sig.value_parent_indices(), sig.flatten().to_numpy()
-            ok = _hits(sent.value, sig)
+            ok = hits(sent.value, sig)
             yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), batch.column(0).take(row.filter(pa.array(ok))), pa.array(at[ok] >> 24), pa.array(at[ok] & 0xFFFFFF)], ["sig", "sid", "position", "most"])
 
     return sets.select("sid", "sig", "at").mapInArrow(run, "sig long, sid long, position long, most long")
@@ -132,7 +127,7 @@ def _elements(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             elements, offsets = shingles(*text_buffers(batch.column(0)), width)
             sid = set_ids(elements, offsets)
-            some = np.flatnonzero(_hits(sent.value, sid) & (np.diff(offsets) > 0))
+            some = np.flatnonzero(hits(sent.value, sid) & (np.diff(offsets) > 0))
             data = [elements[offsets[i] : offsets[i + 1]].tobytes() for i in some]
             yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(data, pa.binary())], ["sid", "elements"])
 
