@@ -1,9 +1,62 @@
-"""The corpus pipeline: language ID, quality rules, near duplicates, repeated passages, packing."""
+"""The corpus pipeline: language ID, quality rules, near duplicates, repeated passages, packing.
 
-STAGES: list = []
-ORACLE_SQL = None
+Every stage gets all that the one before has kept, as (doc_id, text, lang, source, n_chars); the last returns pieces in
+sequences. ``run`` writes each stage's result in the shared folder and reads it again for the next.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rulewright.llm.common import materialize
+from rulewright.llm.language import filter_language
+from rulewright.llm.packing import pack_documents
+from rulewright.llm.passages import remove_repeats
+from rulewright.llm.quality import filter_quality
+from rulewright.llm.setjoin import keep_one
+
+
+def tell_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language can't be told; languages are learned from the lang column of what came in."""
+    return filter_language(docs)
+
+
+def judge_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or a certified cutoff, learned from labels."""
+    return filter_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 80 percent of their 5-word shingles, directly or not, the one of the least doc_id stays."""
+    return keep_one(docs, width=5, percent=80)
+
+
+def drop_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated 400-byte strings out of the texts; n_chars follows."""
+    cut = remove_repeats(docs, width=400)
+    return cut.select(*[F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", tell_language),
+    ("quality rules", judge_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", drop_passages),
+    ("best-fit packing", pack_sequences),
+]
+ORACLE_SQL = None  # models and suffix sorting have no SQL form; tests/llm holds the stages against brute force
+
+
+def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage{i}")
     return docs

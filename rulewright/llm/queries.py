@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import bytebpe, language, media, packing, passages, quality, setjoin, sharding, toxicity
+from . import bytebpe, language, media, packing, passages, quality, setjoin, sharding, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_passages": passages.op5,
     "op6_quality": quality.op6,
     "op7_bytebpe": bytebpe.op7,
+    "op8_warc": warc.op8,
     "op9_setjoin": setjoin.op9,
     "op10_language": language.op10,
 }

@@ -238,7 +238,8 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one of the least doc_id. Documents without words stay."""
+    """docs with one document of each component: the one of the least doc_id. Documents without words stay, and
+    rows whose doc_id is null or equal to the least one."""
     found = join_documents(docs.select("doc_id", "text"), width, percent)
     gone = found.where("component_id < doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
