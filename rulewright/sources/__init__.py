@@ -1 +1,95 @@
+"""Where events and rules come from: fields of rows, JSON text or variants as text, and rule files."""
 
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import types as T
+
+from ..plans.sqltext import name, text
+
+
+def double_text(x: str) -> str:
+    """SQL of a double's shortest text: a point always, an exponent from 1e16 and below 1e-5 only."""
+    digits = f"replace(substring_index(abs({x}), 'E', 1), '.', '')"
+    digits = f"if({digits} = '0', '0', rtrim('0', {digits}))"
+    power = f"CAST(substring_index(CAST(abs({x}) AS STRING), 'E', -1) AS INT)"
+    sign = f"if({x} < 0, '-', '')"
+    large = f"concat({sign}, if(length({digits}) - 1 <= {power}, concat(rpad({digits}, {power} + 1, '0'), '.0'), concat(left({digits}, {power} + 1), '.', substr({digits}, {power} + 2))))"
+    small = f"concat({sign}, '0.', repeat('0', -{power} - 1), {digits})"
+    plain = f"CAST({x} AS STRING)"
+    odd = f"replace(replace(lower({plain}), '.0e', 'e'), 'infinity', 'inf')"
+    return f"CASE WHEN NOT contains({plain}, 'E') THEN {plain} WHEN abs({x}) >= 1e7D AND abs({x}) < 1e16D THEN {large} WHEN abs({x}) >= 1e-5D AND abs({x}) < 1D THEN {small} ELSE {odd} END"
+
+
+class ColumnSource:
+    """Fields are columns; a dotted field walks structs. Arrays, maps, structs, binary and missing fields have no text."""
+
+    def __init__(self, schema: T.StructType):
+        self.schema = schema
+
+    def field(self, path: str) -> str:
+        kind, sql = self.schema, []
+        for part in path.split("."):
+            if not isinstance(kind, T.StructType) or part not in kind.names:
+                return "CAST(NULL AS STRING)"
+            kind = kind[part].dataType
+            sql.append(name(part))
+        sql = ".".join(sql)
+        if isinstance(kind, T.StringType):
+            return sql
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return double_text(f"CAST({sql} AS DOUBLE)" if isinstance(kind, T.FloatType) else sql)
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType, T.NullType)):
+            return "CAST(NULL AS STRING)"
+        return f"CAST({sql} AS STRING)"
+
+
+def _path(path: str) -> str:
+    return "$" + "".join(f"['{part}']" for part in path.split("."))
+
+
+class JsonSource:
+    """Fields are members of the JSON object in a string column. Arrays and objects have no text, nor has bad JSON."""
+
+    def __init__(self, column: str):
+        self.column = name(column)
+
+    def field(self, path: str) -> str:
+        if "'" in path:
+            return "CAST(NULL AS STRING)"
+        got, at = f"get_json_object({self.column}, {text(_path(path))})", text(_path(path).replace("['", '["').replace("']", '"]'))
+        kind = f"schema_of_variant(try_variant_get(try_parse_json({self.column}), {at}, 'variant'))"
+        return f"CASE WHEN left({got}, 1) IN ('{{', '[') AND {kind} RLIKE '^(OBJECT|ARRAY)' THEN NULL ELSE {got} END"
+
+
+class VariantSource:
+    """Fields are members of the object in a variant column. Whole numbers have no point, whatever the JSON text had."""
+
+    def __init__(self, column: str):
+        self.column = name(column)
+
+    def field(self, path: str) -> str:
+        at = text("$" + "".join(f'["{part}"]' for part in path.replace('"', "").split(".")))
+        kind = f"schema_of_variant(try_variant_get({self.column}, {at}, 'variant'))"
+        return f"CASE WHEN {kind} RLIKE '^(OBJECT|ARRAY)' THEN NULL ELSE try_variant_get({self.column}, {at}, 'string') END"
+
+
+class CustomSource:
+    """Fields by a function of the path that returns SQL of a string, falling back on another source for None."""
+
+    def __init__(self, extractor, otherwise):
+        self.extractor, self.otherwise = extractor, otherwise
+
+    def field(self, path: str) -> str:
+        return self.extractor(path) or self.otherwise.field(path)
+
+
+def rules_from_dir(folder: str) -> list[str]:
+    """Texts of all .yml and .yaml files under a folder, by path."""
+    return [p.read_text(encoding="utf-8") for p in sorted(Path(folder).rglob("*")) if p.suffix in (".yml", ".yaml")]
+
+
+def rules_from_spark(spark, path: str) -> list[str]:
+    """The same from any file system that Spark reads. Rules are collected: the driver plans with them."""
+    return [r.value for r in spark.read.text(path, wholetext=True).collect()]
