@@ -6,13 +6,16 @@ into more than D equal parts; a linked pair then agrees in all elements of at le
 
 1. Index lists: a set is listed under each of its parts (the part's elements as one hash), with its position there,
    the number of its elements before the part. Sizes are divided into classes with parts enough for their D; a set is
-   listed in its own class and in those of larger partners. Lists of one set end here.
+   listed in its own class and in those of larger partners. There are some parts more than needed, so that the parts
+   with fewest elements, which say least, need no listing. Lists of one set end here.
 2. Block skipping: a list is cut into overlapping blocks of positions; sets whose positions differ by more than D meet in
    none and are skipped unseen.
 3. Answers from a relation: each block has a hub, its least set. The hub's own answer for every set x of the block
    gives x's difference from it, d(x). For x and y of one hub, |x - y| = d(x) + d(y) - 2 |common differences|,
    so y links to x only if their differences overlap enough: a prefix of the differences, rarest first, is indexed,
-   and only sets that meet there are compared. Pairs already connected are skipped throughout.
+   and only sets that meet there, early enough in both prefixes, are compared. The hub's own peculiarities would be
+   common to all differences; so they are taken again from the group's centre, the set nearest to what most of the
+   group have. Pairs already connected are skipped throughout.
 
 No step lists all pairs of a group: hubs give a pair for each set, then differences do. Equal sets count as one
 set. 64-bit hashes stand for shingles, and for sets the sum of their mixed elements.
@@ -38,20 +41,21 @@ def allowance(total: int, percent: int) -> int:
 
 
 def size_classes(percent: int, top: int) -> list[tuple[int, int]]:
-    """(parts, largest size) by class, up to size top at least. Some parts more than D + 1 leave room for empty ones."""
+    """(parts, largest size) by class, up to size top at least. Parts beyond D + 1 leave room to not list light ones."""
     out, need = [], 1
     while True:
         size = (need * (100 + percent) - 1) // (2 * (100 - percent))  # largest s with allowance(2 s) < need
-        out.append((need if need == 1 else need + 1 + need // 16, size))
+        out.append((need if need == 1 else need + 1 + need // 7, size))
         if size >= top:
             return out
         need = max(need + 1, need * 3 // 2)
 
 
 def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """(set, signature, position, allowance of the class) of every listing of sets of sorted elements.
+    """(set, signature, block of positions) of every listing of sets of sorted elements.
 
-    A part without elements is listed only by a set with so many such parts that nothing else might tell.
+    Linked sets agree in more parts than may go unlisted. A set leaves out its parts of c elements or fewer, for the
+    greatest c that leaves out no more than those; of two sets the greater c decides, and both list a part above it.
     """
     size = np.diff(offsets)
     classes = size_classes(percent, int(size.max(initial=1)) * 100 // percent + 1)
@@ -75,11 +79,11 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int) -> tuple
         value = sums[start + count] - sums[start]
         value = mix(value + U64(parts * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF) + np.arange(parts, dtype=U64) * U64(0xAF251AF3B0F025B5))
         need = allowance(2 * top, percent) + 1
-        listed = (count > 0) | ((count == 0).sum(axis=1) > parts - need)[:, None]
-        row, col = np.nonzero(listed)
-        out.append((mine[row], value[row, col], before[row, col], np.full(len(row), need - 1)))
+        light = np.sort(count, axis=1)[:, parts - need]  # the least size that has to be listed
+        row, col = np.nonzero(count >= light[:, None])
+        out.append((mine[row], value[row, col], before[row, col] // need))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, U64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, U64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -89,34 +93,43 @@ def set_ids(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, size long, sid long, sig, at arrays): each text's set and its listings; at is position * 2**24 + allowance."""
+    """(doc_id, size long, sid long, sig array<long>, nth array<int>): each text's set and its listings with their blocks.
+
+    A set that a task has seen before is not listed again.
+    """
     prepare_workers(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             elements, offsets = shingles(*text_buffers(batch.column(1)), width)
-            row, sig, position, most = signatures(elements, offsets, percent)
+            sid = set_ids(elements, offsets)
+            fresh = np.zeros(len(sid), bool)
+            for i, x in enumerate(sid.tolist()):
+                fresh[i] = x not in seen
+                seen.add(x)
+            row, sig, nth = signatures(elements, offsets, percent)
             order = np.argsort(row, kind="stable")
+            order = order[fresh[row[order]]]
             bounds = pa.array(np.searchsorted(row[order], np.arange(len(offsets))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order])) for x in (sig.view(np.int64), position << 24 | most)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(set_ids(elements, offsets)), *lists], ["doc_id", "size", "sid", "sig", "at"])
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (sig[order].view(np.int64), nth[order].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(sid), *lists], ["doc_id", "size", "sid", "sig", "nth"])
 
-    return docs.select(F.col(id_col), F.col("text")).mapInArrow(run, f"doc_id {kind}, size long, sid long, sig array<long>, at array<long>")
+    return docs.select(F.col(id_col), F.col("text")).mapInArrow(run, f"doc_id {kind}, size long, sid long, sig array<long>, nth array<int>")
 
 
 def _listings(sets: DataFrame, filter_bits: np.ndarray) -> DataFrame:
-    """(sig, sid, position, most) of the listings that the filter lets through."""
+    """(sig, sid, nth) of the listings that the filter lets through."""
     sent = sets.sparkSession.sparkContext.broadcast(filter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, at = batch.column(1), batch.column(2).flatten().to_numpy()
-            row, sig = sig.value_parent_indices(), sig.flatten().to_numpy()
-            ok = hits(sent.value, sig)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[ok]), batch.column(0).take(row.filter(pa.array(ok))), pa.array(at[ok] >> 24), pa.array(at[ok] & 0xFFFFFF)], ["sig", "sid", "position", "most"])
+            row, sig = batch.column(1).value_parent_indices(), batch.column(1).flatten().to_numpy()
+            ok = pa.array(hits(sent.value, sig))
+            yield pa.RecordBatch.from_arrays([batch.column(1).flatten().filter(ok), batch.column(0).take(row.filter(ok)), batch.column(2).flatten().filter(ok)], ["sig", "sid", "nth"])
 
-    return sets.select("sid", "sig", "at").mapInArrow(run, "sig long, sid long, position long, most long")
+    return sets.select("sid", "sig", "nth").mapInArrow(run, "sig long, sid long, nth int")
 
 
 def _elements(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -124,10 +137,11 @@ def _elements(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.col("sid").alias("k1"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in batches:
             elements, offsets = shingles(*text_buffers(batch.column(0)), width)
             sid = set_ids(elements, offsets)
-            some = np.flatnonzero(hits(sent.value, sid) & (np.diff(offsets) > 0))
+            some = np.array([i for i in np.flatnonzero(hits(sent.value, sid) & (np.diff(offsets) > 0)).tolist() if sid[i] not in seen and not seen.add(sid[i])], np.int64)
             data = [elements[offsets[i] : offsets[i + 1]].tobytes() for i in some]
             yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(data, pa.binary())], ["sid", "elements"])
 
@@ -169,16 +183,25 @@ def _rooted(df: DataFrame, key: str, roots: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce("__root", key)).drop("__root")
 
 
+def _centres(related: DataFrame) -> DataFrame:
+    """(b, centre): of each hub's group the set, or the hub, that differs least from what more than half of the group have."""
+    size = related.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
+    parts = related.select("b", "a", F.explode("difference").alias("e"))
+    common = parts.groupBy("b", "e").agg(F.count(F.lit(1)).alias("n")).join(size, "b").where("2 * n > m + 1").select("b", "e")
+    own = parts.join(common, ["b", "e"]).groupBy("b", "a").agg(F.count(F.lit(1)).alias("flipped"))
+    score = related.join(own, ["b", "a"], "left").select("b", "a", (F.col("d") - 2 * F.coalesce("flipped", F.lit(0))).alias("score"))
+    best = score.groupBy("b").agg(F.min(F.struct("score", "a")).alias("x"))
+    return best.select("b", F.when(F.col("x.score") < 0, F.col("x.a")).otherwise(F.col("b")).alias("centre"))
+
+
 def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, root) of all sets with links: components of the distinct sets (sid, size, sig, at) of docs (text)."""
+    """(id, root) of all sets with links: components of the sets (sid, sig, nth) of docs (text)."""
     often = sets.select(F.explode("sig").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     often = materialize(often, "lists")
     listed = _listings(sets, bloom(often.select(F.col("sig").alias("k1")))).join(often, "sig", "left_semi")
-    width_of = F.col("most") + 1
-    nth = F.floor(F.col("position") / width_of)
-    blocks = listed.select("sid", F.explode(F.array(F.xxhash64("sig", nth), F.xxhash64("sig", nth + 1))).alias("block"))
-    blocks = materialize(blocks.distinct(), "blocks")
-    hubs = blocks.groupBy("block").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "hub")
+    blocks = listed.select("sid", F.explode(F.array(F.xxhash64("sig", "nth"), F.xxhash64("sig", F.col("nth") + 1))).alias("block"))
+    blocks = materialize(blocks, "blocks")
+    hubs = blocks.groupBy("block").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("block", "hub")
     member = materialize(blocks.join(hubs, "block"), "members")
 
     # first answers: each set against the least of its hubs
@@ -192,22 +215,34 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     mixed = rooted.groupBy("block").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("block")
     open_ = rooted.join(mixed, "block", "left_semi").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
     related = materialize(_relate(open_, elements, percent, True), "relations")
-    links = materialize(links.union(related.where("linked").select("a", "b")), "links")
+    links = links.union(related.where("linked").select("a", "b"))
+
+    # the same relations, from the centres of hubs' groups
+    centres = materialize(_centres(related), "centres")
+    moved = centres.where("b <> centre")
+    pairs = related.select("a", "b").join(moved, "b").select("a", F.col("centre").alias("b")).union(moved.select(F.col("b").alias("a"), F.col("centre").alias("b")))
+    again = materialize(_relate(pairs.where("a <> b").distinct(), elements, percent, True), "centred")
+    links = materialize(links.union(again.where("linked").select("a", "b")).distinct(), "links")
+    related = related.join(moved, "b", "left_anti").select(*again.columns).union(again)
     roots = components(links)
 
-    # differences from a common hub: with overlap >= d - allowance for any partner, rarest elements first
+    # differences from a common centre: with overlap >= d - slack for any partner, rarest elements first
     slack = F.floor((100 - percent) * (F.col("sa") + F.floor(F.col("sa") * 100 / percent)) / (100 + percent))
     kept = F.least(F.col("d"), slack + 1)
     parts = related.select(F.col("b").alias("hub"), F.col("a").alias("sid"), "sa", "d", "linked", kept.alias("kept"), F.explode("difference").alias("e"))
     rare = parts.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("linked").cast("int")).alias("all_linked"))
     order = Window.partitionBy("hub", "sid").orderBy("n", "e")
     indexed = parts.join(rare, ["hub", "e"]).withColumn("r", F.row_number().over(order)).where("r <= kept AND n > 1 AND all_linked = 0")
-    indexed = materialize(_rooted(indexed.select("hub", "e", "sid", "sa", "d"), "sid", roots, "root"), "differences")
-    left, right = (indexed.select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "sa", "d", "root")]) for k in "xy")
+    indexed = materialize(_rooted(indexed.select("hub", "e", "sid", "sa", "d", (F.col("d") - F.col("r") + 1).alias("left")), "sid", roots, "root"), "differences")
+    mixed = indexed.groupBy("hub", "e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub", "e")
+    indexed = indexed.join(mixed, ["hub", "e"], "left_semi")
+    one, two = (indexed.select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "sa", "d", "left", "root")]) for k in "xy")
     most = F.floor((100 - percent) * (F.col("sa_x") + F.col("sa_y")) / (100 + percent))
-    pairs = left.join(right, ["hub", "e"]).where((F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y")) & (F.abs(F.col("d_x") - F.col("d_y")) <= most))
-    overlap = F.col("d_x") + F.col("d_y") <= most + 2 * F.least("d_x", "d_y")
-    pairs = pairs.where(overlap).select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
+    size = 100 * F.least("sa_x", "sa_y") >= percent * F.greatest("sa_x", "sa_y")
+    # what is left of both from here on has to hold the common differences
+    enough = (F.abs(F.col("d_x") - F.col("d_y")) <= most) & (2 * F.least("left_x", "left_y") >= F.col("d_x") + F.col("d_y") - most)
+    pairs = one.join(two, ["hub", "e"]).where((F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y")) & size & enough)
+    pairs = pairs.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
     last = _relate(pairs, elements, percent, False).where("linked").select("a", "b")
     return components(links.union(last))
 
@@ -220,10 +255,8 @@ def join_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     ids are rows of their own with the same answer if their texts are equal; a null id never names a component that has others.
     """
     sets = materialize(describe_sets(docs, width, percent, id_col), "sets")
-    distinct = sets.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("at").alias("at"))
-    distinct = materialize(distinct, "distinct-sets")
-    roots = link_sets(docs.select("text"), distinct.select("sid", "size", "sig", "at"), width, percent)
-    named = _rooted(distinct.select("sid", "least"), "sid", roots, "root")
+    roots = link_sets(docs.select("text"), sets.select("sid", "sig", "nth"), width, percent)
+    named = _rooted(sets.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least")), "sid", roots, "root")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = named.join(least, "root").select("sid", "component_id")
     rows = sets.select("doc_id", "size", F.when(F.col("size") > 0, F.col("sid")).alias("sid"))
