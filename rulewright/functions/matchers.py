@@ -86,7 +86,7 @@ def _register_v6() -> str:
     from pyspark.sql import SparkSession
     from pyspark.sql.functions import pandas_udf
 
-    def inside(address: pd.Series, network: pd.Series) -> pd.Series:
+    def inside(address, network):
         import ipaddress
 
         known: dict = {}
@@ -130,12 +130,14 @@ def _compare(v: str, sign: str, bound: int | float) -> str:
     whole = f"IF({v} RLIKE '^[+-]?[0-9]+$', try_cast({v} AS BIGINT), NULL)"
     real = f"IF({v} RLIKE {text('(?i)' + _FLOAT)}, try_cast({v} AS DOUBLE), NULL)"
     equal = "true" if sign in ("=", ">=", "<=") else "false"
-    as_double = f"CASE WHEN isnan({real}) THEN {equal} WHEN {real} IS NOT NULL THEN {real} {sign} {{}} END"
-    if isinstance(bound, int):
-        return f"CASE WHEN {whole} IS NOT NULL THEN {whole} {sign} {bound}L ELSE {as_double.format(f'CAST({bound}L AS DOUBLE)')} END".replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
-    if math.isnan(bound):
+    if isinstance(bound, float) and math.isnan(bound):
         return f"IF({real} IS NOT NULL, {equal}, NULL)"
-    return as_double.format(f"CAST('{bound!r}' AS DOUBLE)")
+    number = f"CAST('{bound!r}' AS DOUBLE)"
+    as_double = f"CASE WHEN isnan({real}) THEN {equal} WHEN {real} IS NOT NULL THEN {real} {sign} {number} END"
+    if isinstance(bound, float):
+        return as_double
+    whole_bound = f"{bound}L" if bound > -(2**63) else "(-9223372036854775807L - 1L)"
+    return f"CASE WHEN {whole} IS NOT NULL THEN {whole} {sign} {whole_bound} ELSE {as_double} END"
 
 
 def _range(v: str, value: str) -> str:

@@ -46,8 +46,8 @@ _where("m_equals", "events", "event_id", "{event_type: purchase}", "event_type =
 _where("m_equals_list", "events", "event_id", "{event_type: [purchase, error, absent]}", "event_type IN ('purchase', 'error')")
 _where("m_equals_ci", "events", "event_id", "{event_type: PURCHASE}", "event_type = 'purchase'", REGISTRY)
 _where("m_equals_cased", "events", "event_id", "{'event_type|cased': [PURCHASE, view]}", "event_type = 'view'", REGISTRY)
-_where("m_contains", "part", "p_partkey", "{'p_name|contains': [1, xyz]}", "contains(p_name, '1') OR contains(p_name, 'xyz')")
-_where("m_contains_long", "part", "p_partkey", "{'p_name|contains': [" + ", ".join(f"'{i}'" for i in range(10, 60)) + "]}", " OR ".join(f"contains(p_name, '{i}')" for i in range(10, 60)))
+_where("m_contains", "part", "p_partkey", "{'p_name|contains': [ring, blue]}", "contains(p_name, 'ring') OR contains(p_name, 'blue')")
+_where("m_contains_long", "customer", "c_custkey", "{'c_name|contains': [" + ", ".join(f"'{i}'" for i in range(10, 60)) + "]}", " OR ".join(f"contains(c_name, '{i}')" for i in range(10, 60)))
 _where("m_startswith", "customer", "c_custkey", "{'c_mktsegment|startswith': [AUTO, BUILD]}", "starts_with(c_mktsegment, 'AUTO') OR starts_with(c_mktsegment, 'BUILD')")
 _where("m_endswith", "supplier", "s_suppkey", "{'s_name|endswith': ['1', '7']}", "suffix(s_name, '1') OR suffix(s_name, '7')")
 _where("m_regex", "pages", "page_id", "{'url|re': '^https?://[a-z.]+\\.example\\.(com|net)/en/\\d+$'}", r"regexp_matches(url, '^https?://[a-z.]+\.example\.(com|net)/en/\d+\z')")
