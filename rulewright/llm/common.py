@@ -6,6 +6,7 @@ UTF-8 buffer is then handled with numpy, without one Python object per row.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -47,7 +48,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rulewright_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more, and let go of finished shuffles' files."""
+    context = written[0].sparkSession.sparkContext
+    for df in written:
+        path = context._jvm.org.apache.hadoop.fs.Path(df._rulewright_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    context._jvm.System.gc()  # Spark's cleaner removes shuffle files once the driver has collected what referred to them
 
 
 def prepare_workers(spark: SparkSession) -> None:

@@ -7,7 +7,8 @@ into more than D equal parts; a linked pair then agrees in all elements of at le
 1. Index lists: a set is listed under each of its parts (the part's elements as one hash), with its position there,
    the number of its elements before the part. Sizes are divided into classes with parts enough for their D; a set is
    listed in its own class and in those of larger partners. There are some parts more than needed, so that the parts
-   with fewest elements, which say least, need no listing. Lists of one set end here.
+   which say least, those with fewest elements that aren't common in the corpus, need no listing. Common ones are told
+   by a count of all shingles in a fixed number of counters. Lists of one set end here.
 2. Block skipping: a list is cut into overlapping blocks of positions; sets whose positions differ by more than D meet in
    none and are skipped unseen.
 3. Answers from a relation: each block has a hub, its least set. The hub's own answer for every set x of the block
@@ -23,6 +24,7 @@ set. 64-bit hashes stand for shingles, and for sets the sum of their mixed eleme
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, prepare_workers, shingles, text_buffers
+from .common import U64, discard, materialize, mix, prepare_workers, shingles, text_buffers
 from .graph import components
 from .passages import bloom, hits
 
 
+#: Counters of shingles.
+COUNTERS = 1 << 21
+
+
 def allowance(total: int, percent: int) -> int:
     """Elements in one set only that sets of ``total`` elements together may have."""
     return (100 - percent) * total // (100 + percent)
@@ -45,17 +51,52 @@ def size_classes(percent: int, top: int) -> list[tuple[int, int]]:
     out, need = [], 1
     while True:
         size = (need * (100 + percent) - 1) // (2 * (100 - percent))  # largest s with allowance(2 s) < need
-        out.append((need if need == 1 else need + 1 + need // 7, size))
+        out.append((need if need == 1 else need + 2 + need // 7, size))
         if size >= top:
             return out
         need = max(need + 1, need * 3 // 2)
 
 
-def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+def common_counters(docs: DataFrame, width: int, counters: int = COUNTERS) -> np.ndarray:
+    """For each counter whether it counts far more shingles of all docs (text) than the average: as bits.
+
+    Tasks count all they have and send their counters; these are added up in parts, and only bits reach the driver.
+    """
+    prepare_workers(docs.sparkSession)
+    part = counters // 32
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(counters, np.int64)
+        for batch in batches:
+            elements, _ = shingles(*text_buffers(batch.column(0)), width)
+            seen += np.bincount((elements & U64(counters - 1)).astype(np.int64), minlength=counters)
+        seen = np.minimum(seen, 2**32 - 1).astype(np.uint32)
+        data = [zlib.compress(seen[i * part : (i + 1) * part].tobytes(), 1) for i in range(32)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array(data, pa.binary()), pa.array([int(seen.sum())] * 32)], ["part", "counts", "all"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        whole: dict[int, int] = {}
+        for batch in batches:
+            for i, data, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+                whole[i] = whole.get(i, 0) + n
+        bits = [np.packbits(x > max(16, 3 * whole[i] // counters)).tobytes() for i, x in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(bits, pa.binary())], ["part", "bits"])
+
+    counted = docs.select("text").mapInArrow(count, "part int, counts binary, all long").repartition(16, "part")
+    out = np.zeros(counters, bool)
+    for i, bits in counted.mapInArrow(add, "part int, bits binary").collect():
+        out[i * part : (i + 1) * part] = np.unpackbits(np.frombuffer(bits, np.uint8))
+    return out
+
+
+def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(set, signature, block of positions) of every listing of sets of sorted elements.
 
-    Linked sets agree in more parts than may go unlisted. A set leaves out its parts of c elements or fewer, for the
-    greatest c that leaves out no more than those; of two sets the greater c decides, and both list a part above it.
+    Linked sets agree in more parts than may go unlisted. A part's weight is the number of its elements that aren't
+    common, then of all its elements. A set leaves out its parts of weight c or less, for the greatest c that leaves out no more than
+    those; of two sets the greater c decides, and both list a part above it.
     """
     size = np.diff(offsets)
     classes = size_classes(percent, int(size.max(initial=1)) * 100 // percent + 1)
@@ -63,6 +104,7 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int) -> tuple
     low, high = np.searchsorted(tops, size), np.searchsorted(tops, size * 100 // percent)
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(elements ^ U64(0x5851F42D4C957F2D)))])
     text = np.repeat(np.arange(len(size)), size)
+    rare = np.ones(len(elements)) if common is None else 1.0 - common[(elements & U64(len(common) - 1)).astype(np.int64)]
     out = []
     for c, (parts, top) in enumerate(classes):
         mine = np.flatnonzero((low <= c) & (c <= high) & (size > 0))
@@ -79,8 +121,10 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, percent: int) -> tuple
         value = sums[start + count] - sums[start]
         value = mix(value + U64(parts * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF) + np.arange(parts, dtype=U64) * U64(0xAF251AF3B0F025B5))
         need = allowance(2 * top, percent) + 1
-        light = np.sort(count, axis=1)[:, parts - need]  # the least size that has to be listed
-        row, col = np.nonzero(count >= light[:, None])
+        weight = np.bincount(place[text[chosen]] * parts + part, rare[chosen], minlength=len(mine) * parts).reshape(-1, parts)
+        weight = weight * (1 << 24) + count
+        light = np.sort(weight, axis=1)[:, parts - need]  # the least weight that has to be listed
+        row, col = np.nonzero(weight >= light[:, None])
         out.append((mine[row], value[row, col], before[row, col] // need))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, U64, np.int64))
@@ -99,9 +143,11 @@ def describe_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_
     """
     prepare_workers(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common_counters(docs.select("text"), width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        common = np.unpackbits(sent.value)
         for batch in batches:
             elements, offsets = shingles(*text_buffers(batch.column(1)), width)
             sid = set_ids(elements, offsets)
@@ -109,7 +155,7 @@ def describe_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_
             for i, x in enumerate(sid.tolist()):
                 fresh[i] = x not in seen
                 seen.add(x)
-            row, sig, nth = signatures(elements, offsets, percent)
+            row, sig, nth = signatures(elements, offsets, percent, common)
             order = np.argsort(row, kind="stable")
             order = order[fresh[row[order]]]
             bounds = pa.array(np.searchsorted(row[order], np.arange(len(offsets))).astype(np.int32))
@@ -195,14 +241,16 @@ def _centres(related: DataFrame) -> DataFrame:
 
 
 def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, root) of all sets with links: components of the sets (sid, sig, nth) of docs (text)."""
+    """(id, root) of all sets with links: components of the sets (sid, sig, nth) of docs (text), a written table that is used up."""
     often = sets.select(F.explode("sig").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     often = materialize(often, "lists")
     listed = _listings(sets, bloom(often.select(F.col("sig").alias("k1")))).join(often, "sig", "left_semi")
     blocks = listed.select("sid", F.explode(F.array(F.xxhash64("sig", "nth"), F.xxhash64("sig", F.col("nth") + 1))).alias("block"))
     blocks = materialize(blocks, "blocks")
+    discard(sets, often)
     hubs = blocks.groupBy("block").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("block", "hub")
     member = materialize(blocks.join(hubs, "block"), "members")
+    discard(blocks)
 
     # first answers: each set against the least of its hubs
     first = member.where("sid <> hub").groupBy("sid").agg(F.min("hub").alias("hub")).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
@@ -212,10 +260,14 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
 
     # relations to the hubs of blocks that hold several components
     rooted = _rooted(member, "sid", roots, "root")
-    mixed = rooted.groupBy("block").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("block")
-    open_ = rooted.join(mixed, "block", "left_semi").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    related = materialize(_relate(open_, elements, percent, True), "relations")
+    mixed = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), (F.count_distinct("sid") > 2).alias("many")).where("low < high").select("block", "many")
+    open_ = rooted.join(mixed, "block").where("sid <> hub").groupBy(F.col("sid").alias("a"), F.col("hub").alias("b")).agg(F.max("many").alias("many"))
+    open_ = materialize(open_, "open")
+    alone = _relate(open_.where("NOT many"), elements, percent, False).where("linked").select("a", "b")  # no third set: the hub's answer is all
+    links = materialize(links.union(alone), "links")
+    related = materialize(_relate(open_.where("many"), elements, percent, True), "relations")
     links = links.union(related.where("linked").select("a", "b"))
+    discard(member, open_)
 
     # the same relations, from the centres of hubs' groups
     centres = materialize(_centres(related), "centres")
@@ -223,6 +275,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     pairs = related.select("a", "b").join(moved, "b").select("a", F.col("centre").alias("b")).union(moved.select(F.col("b").alias("a"), F.col("centre").alias("b")))
     again = materialize(_relate(pairs.where("a <> b").distinct(), elements, percent, True), "centred")
     links = materialize(links.union(again.where("linked").select("a", "b")).distinct(), "links")
+    whole = (related, again)
     related = related.join(moved, "b", "left_anti").select(*again.columns).union(again)
     roots = components(links)
 
@@ -233,7 +286,8 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     rare = parts.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("linked").cast("int")).alias("all_linked"))
     order = Window.partitionBy("hub", "sid").orderBy("n", "e")
     indexed = parts.join(rare, ["hub", "e"]).withColumn("r", F.row_number().over(order)).where("r <= kept AND n > 1 AND all_linked = 0")
-    indexed = materialize(_rooted(indexed.select("hub", "e", "sid", "sa", "d", (F.col("d") - F.col("r") + 1).alias("left")), "sid", roots, "root"), "differences")
+    indexed = indexed_table = materialize(_rooted(indexed.select("hub", "e", "sid", "sa", "d", (F.col("d") - F.col("r") + 1).alias("left")), "sid", roots, "root"), "differences")
+    discard(*whole)
     mixed = indexed.groupBy("hub", "e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub", "e")
     indexed = indexed.join(mixed, ["hub", "e"], "left_semi")
     one, two = (indexed.select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "sa", "d", "left", "root")]) for k in "xy")
@@ -244,7 +298,9 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     pairs = one.join(two, ["hub", "e"]).where((F.col("sid_x") < F.col("sid_y")) & (F.col("root_x") != F.col("root_y")) & size & enough)
     pairs = pairs.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
     last = _relate(pairs, elements, percent, False).where("linked").select("a", "b")
-    return components(links.union(last))
+    out = components(links.union(last))
+    discard(indexed_table, elements)
+    return out
 
 
 def join_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
@@ -254,8 +310,9 @@ def join_documents(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     shingle; a null text or one without words has none and links with nothing. Equal sets link with each other. Repeated
     ids are rows of their own with the same answer if their texts are equal; a null id never names a component that has others.
     """
-    sets = materialize(describe_sets(docs, width, percent, id_col), "sets")
-    roots = link_sets(docs.select("text"), sets.select("sid", "sig", "nth"), width, percent)
+    listed = materialize(describe_sets(docs, width, percent, id_col), "listed-sets")
+    sets = materialize(listed.select("doc_id", "size", "sid"), "sets")
+    roots = link_sets(docs.select("text"), listed, width, percent)
     named = _rooted(sets.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least")), "sid", roots, "root")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = named.join(least, "root").select("sid", "component_id")
