@@ -19,7 +19,7 @@ from .plans import lower as lowering
 from .plans.dag import Dag, DagStatistics, choose_plan
 from .plans.prefilter import LiteralPrefilter, PrefilterConfig, PrefilterStats, necessary, suitable
 from .plans.sqltext import any_of, name, sure
-from .sources import ColumnSource, CustomSource, JsonSource, VariantSource
+from .sources import ColumnSource, CustomSource, JsonSource, StagedSource, VariantSource, number
 
 MATCHED = "matched_rules"
 
@@ -95,6 +95,8 @@ class DetectionEngine:
         """SQL of a primitive; NULL where its field has no text."""
         p = self.ruleset.primitives[primitive_id]
         match = matchers.matcher(p.match_type, self.config.semantics, self._matchers)
+        if match is matchers.number_range and (column := number(source, p.field)) and not (p.modifiers and self.config.semantics == "documented"):
+            return matchers.column_range(*column, p.values)
         fold = self.config.semantics == "registry" and "case_sensitive" not in p.modifiers
         if match is matchers.regex:
             return match(self._field(p, source), p.values, p.modifiers, fold, self.config.reject_dangerous)
@@ -126,6 +128,12 @@ class DetectionEngine:
         plan = self.config.plan if self.config.plan != "auto" else choose_plan(self.trees, self.primitive_count)
         kept = [name(c) for c in df.columns if c != MATCHED]
         used = self._used()
+        fields = dict.fromkeys(self.ruleset.primitives[p].field for p in used)
+        made = {f: sql for f in fields if "(" in (sql := source.field(f))}
+        if made:
+            columns = {f: f"__f{i}" for i, f in enumerate(made)}
+            df = df.selectExpr("*", *[f"{sql} AS {columns[f]}" for f, sql in made.items()])
+            source = StagedSource(source, columns)
         gate = self.where(source, raw) if self.config.prefilter == "reference" else None
         guard = (lambda x: f"IF({gate}, {x}, CAST(array() AS ARRAY<INT>)) AS {MATCHED}") if gate else (lambda x: f"{x} AS {MATCHED}")
         if plan == "inline" or not used:
@@ -176,7 +184,8 @@ class DetectionEngine:
         condition = self.where(source, name(json) if json else None)
         rows = self._evaluate(df.where(condition) if condition else df, source, name(json) if json else None)
         kept = [c for c in (keep if keep is not None else df.columns) if c not in (MATCHED, "rule_id")]
-        return rows.selectExpr(f"explode({MATCHED}) AS rule_id", *map(name, kept))
+        # an outer explode: for an inner one the optimizer would evaluate all rules once more, as a filter below
+        return rows.selectExpr(f"explode_outer({MATCHED}) AS rule_id", *map(name, kept)).where("rule_id IS NOT NULL")
 
     def evaluate_primitive(self, df: DataFrame, primitive_id: int) -> DataFrame:
         """df with matched boolean."""

@@ -140,22 +140,43 @@ def _compare(v: str, sign: str, bound: int | float) -> str:
     return f"CASE WHEN {whole} IS NOT NULL THEN {whole} {sign} {whole_bound} ELSE {as_double} END"
 
 
-def _range(v: str, value: str) -> str:
+def _typed(x: str, whole: bool) -> Callable[[str, int | float], str]:
+    """Comparisons of a numeric column itself; of NaN as of its text."""
+
+    def compare(sign: str, bound: int | float) -> str:
+        if whole and isinstance(bound, int):
+            return f"{x} {sign} {bound}L" if bound > -(2**63) else f"{x} {sign} (-9223372036854775807L - 1L)"
+        equal = "true" if sign in ("=", ">=", "<=") else "false"
+        if isinstance(bound, float) and math.isnan(bound):
+            return f"IF({x} IS NOT NULL, {equal}, NULL)"
+        number = f"CAST('{bound!r}' AS DOUBLE)"
+        if whole:
+            return f"CAST({x} AS DOUBLE) {sign} {number}"
+        # NaN is greater than all numbers here, and by its text equal to all
+        return f"({x} {sign} {number} AND NOT isnan({x}))" if equal == "false" else f"({x} {sign} {number} OR isnan({x}))"
+
+    return compare
+
+
+def _range(compare: Callable[[str, int | float], str], value: str) -> str:
     for sign in (">=", "<=", ">", "<"):
         if value.startswith(sign):
-            return _compare(v, sign, _number(value[len(sign) :]))
-    if "..." in value:
-        low, high = value.split("...", 1)
-        return f"({_compare(v, '>=', _number(low))} AND {_compare(v, '<', _number(high))})"
-    if ".." in value:
-        low, high = value.split("..", 1)
-        return f"({_compare(v, '>=', _number(low))} AND {_compare(v, '<=', _number(high))})"
-    return _compare(v, "=", _number(value))
+            return compare(sign, _number(value[len(sign) :]))
+    for dots, upper in (("...", "<"), ("..", "<=")):
+        if dots in value:
+            low, high = value.split(dots, 1)
+            return f"({compare('>=', _number(low))} AND {compare(upper, _number(high))})"
+    return compare("=", _number(value))
 
 
 def number_range(v: str, values: Sequence[str], modifiers: Sequence[str] = (), fold: bool = False) -> str:
     """``a..b`` with both ends, ``a...b`` without the upper one, ``>=x``, ``<=x``, ``>x``, ``<x`` or ``x``."""
-    return any_of(_valid(values, lambda x: _range(v, x)))
+    return any_of(_valid(values, lambda x: _range(lambda sign, bound: _compare(v, sign, bound), x)))
+
+
+def column_range(x: str, whole: bool, values: Sequence[str]) -> str:
+    """The same of a numeric column, which a scan can evaluate."""
+    return any_of(_valid(values, lambda value: _range(_typed(x, whole), value)))
 
 
 def dash_range(v: str, values: Sequence[str], modifiers: Sequence[str] = (), fold: bool = False) -> str:

@@ -272,7 +272,7 @@ def scale_sql(n: int) -> str:
 def scale_query(n: int, plan: str = "auto") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = DetectionEngine.from_rules(scale_rules(n), EngineConfig(plan=plan)).evaluate(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", "user_id"))
-        return found.select(F.explode("matched_rules").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+        return found.select(F.explode_outer("matched_rules").alias("rule_id")).where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
     return run
 

@@ -28,14 +28,27 @@ class ColumnSource:
     def __init__(self, schema: T.StructType):
         self.schema = schema
 
-    def field(self, path: str) -> str:
+    def _find(self, path: str) -> tuple[str, T.DataType] | None:
         kind, sql = self.schema, []
         for part in path.split("."):
             if not isinstance(kind, T.StructType) or part not in kind.names:
-                return "CAST(NULL AS STRING)"
+                return None
             kind = kind[part].dataType
             sql.append(name(part))
-        sql = ".".join(sql)
+        return ".".join(sql), kind
+
+    def number(self, path: str) -> tuple[str, bool] | None:
+        """(SQL, whether it is whole) of a numeric column, whose comparisons need no text."""
+        found = self._find(path)
+        if found is None or not isinstance(found[1], (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType)):
+            return None
+        return found[0], not isinstance(found[1], T.DoubleType)
+
+    def field(self, path: str) -> str:
+        found = self._find(path)
+        if found is None:
+            return "CAST(NULL AS STRING)"
+        sql, kind = found
         if isinstance(kind, T.StringType):
             return sql
         if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -85,6 +98,24 @@ class CustomSource:
         return self.extractor(path) or self.otherwise.field(path)
 
 
+class StagedSource:
+    """Another source's fields, of which some are columns already: each text is made once, however many predicates use it."""
+
+    def __init__(self, source, columns: dict[str, str]):
+        self.source, self.columns = source, columns
+
+    def number(self, path: str) -> tuple[str, bool] | None:
+        return number(self.source, path)
+
+    def field(self, path: str) -> str:
+        return self.columns.get(path) or self.source.field(path)
+
+
+def number(source, path: str) -> tuple[str, bool] | None:
+    """The source's numeric column for a field, if it has such."""
+    return source.number(path) if hasattr(source, "number") else None
+
+
 def rules_from_dir(folder: str) -> list[str]:
     """Texts of all .yml and .yaml files under a folder, by path."""
     return [p.read_text(encoding="utf-8") for p in sorted(Path(folder).rglob("*")) if p.suffix in (".yml", ".yaml")]

@@ -66,7 +66,7 @@ def test_errors():
         regex.to_java("|".join("abcdefghijklmnopq"))
     assert regex.to_java("|".join("abcdefghijklmnopq"), reject_dangerous=False)
     with pytest.raises(InvalidRange):
-        matchers._range("x", "a..b")
+        matchers._range(lambda sign, bound: "", "a..b")
     with pytest.raises(UnsupportedMatchType):
         matchers.matcher("odd", "registry")
     assert matchers.matcher("odd", "engine") is matchers.equals
