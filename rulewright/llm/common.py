@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; a worker holds a few batches at a time.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
 U64 = np.uint64
 _LUT = np.random.RandomState(20240613).randint(0, 2**63 - 1, 256).astype(U64) * U64(2) + U64(1)

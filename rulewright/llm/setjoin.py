@@ -66,11 +66,11 @@ def common_counters(docs: DataFrame, width: int, counters: int = COUNTERS) -> np
     part = counters // 32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(counters, np.int64)
+        seen = np.zeros(counters, np.uint32)
         for batch in batches:
             elements, _ = shingles(*text_buffers(batch.column(0)), width)
-            seen += np.bincount((elements & U64(counters - 1)).astype(np.int64), minlength=counters)
-        seen = np.minimum(seen, 2**32 - 1).astype(np.uint32)
+            counter, n = np.unique(elements & U64(counters - 1), return_counts=True)
+            seen[counter.astype(np.int64)] += n.astype(np.uint32)
         data = [zlib.compress(seen[i * part : (i + 1) * part].tobytes(), 1) for i in range(32)]
         yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array(data, pa.binary()), pa.array([int(seen.sum())] * 32)], ["part", "counts", "all"])
 
