@@ -3,7 +3,8 @@
 A pre-token that is in the vocabulary as a whole gets its id from a minimal perfect hash (hash and displace: as many
 slots as tokens, one small displacement for each bucket of keys), read for all new pre-tokens of a batch at once.
 Other pre-tokens start as linked bytes; a heap holds the rank of every neighbouring pair that is a token, and the
-lowest rank, leftmost first, is merged until none is left. Results are remembered for ``MEMO`` pre-tokens per worker.
+lowest rank, leftmost first, is merged until none is left. A worker remembers results: its memo grows old after ``MEMO``
+pre-tokens, and it keeps the one before, too.
 """
 
 from __future__ import annotations
@@ -80,6 +81,7 @@ class Codec:
         self.token = {i: t for t, i in self.ranks.items()}
         self.number = {i: str(i) for i in self.token}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}  # the memo before this one
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece that isn't a token itself."""
@@ -107,10 +109,11 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Put pieces' ids into the memo."""
-        new = [p for p in pieces if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(pieces)
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        unseen = pieces.difference(self.memo)
+        self.memo.update((p, self.old[p]) for p in unseen.intersection(self.old))
+        new = list(unseen.difference(self.old))
         raw = [p.encode() for p in new]
         for piece, data, slot in zip(new, raw, self.hash(raw), strict=True):
             self.memo[piece] = (self.ranks[data],) if self.slot_token[slot] == data else self.merge(data)
