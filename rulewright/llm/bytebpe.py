@@ -41,12 +41,14 @@ class PerfectHash:
             mine = h[order[bounds[b] : bounds[b + 1]]]
             if len(mine) == 0:
                 break
-            d = 0
-            while True:
-                slots = self._slots(mine, np.full(len(mine), d))
-                if not taken[slots].any() and len(np.unique(slots)) == len(slots):
+            d, block = 0, 16
+            while True:  # a block of displacements at once, for the least that fits
+                slots = self._slots(mine[None, :], np.arange(d, d + block)[:, None])
+                fits = ~taken[slots].any(axis=1) & (np.diff(np.sort(slots, axis=1), axis=1) != 0).all(axis=1)
+                if fits.any():
+                    d, slots = d + int(fits.argmax()), slots[fits.argmax()]
                     break
-                d += 1
+                d, block = d + block, min(2 * block, 8192)
                 if d > 50 * self.n + 1000:
                     raise ValueError("keys repeat")
             taken[slots] = True
