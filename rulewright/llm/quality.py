@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs carry a guarantee on good documents, from labelled holdouts.
 
-Every rule is a metric of a document, worse when higher, and a fixed grid of cutoffs. In each stratum (a band of
-document lengths), cutoffs are tested from the loosest to the tightest: the hypothesis "this cutoff rejects more
-than ``risk / rules`` of good documents" is refuted when the exact binomial probability of as few false rejections
-as the labelled holdout shows is at most ``error / (rules * strata)`` (Bonferroni); the first that isn't refuted ends
-the sequence, so the grid costs no further correction. With probability 1 - error every refuted hypothesis is indeed
+Every rule is a metric of a document, worse when higher, and a fixed grid of cutoffs. Neighbouring bands of document
+lengths are merged to strata, and rules taken in their fixed order, as far as the numbers of good labels can certify
+(``arrange``). In each stratum, cutoffs are tested from the loosest to the tightest: the hypothesis "this cutoff
+rejects more than ``risk / rules`` of good documents" is refuted when the exact binomial probability of as few false
+rejections as the labelled holdout shows is at most ``error / (rules * strata)`` (Bonferroni over what is tested); the
+first that isn't refuted ends the sequence, so the grid costs no further correction. Strata and rules depend on the
+numbers of good labels only, not on their metrics, so with probability 1 - error every refuted hypothesis is indeed
 false, and a stratum's rules together reject at most a ``risk`` part of its good documents. Among the certified
 cutoffs of a rule the one is used that rejects the largest part of bad documents less that of good ones; a rule
-without one never rejects. Everything is DataFrame and SQL expressions.
+without one never rejects. Everything but the arrangement of six numbers is DataFrame and SQL expressions.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: The rules' metrics over the columns of ``with_counts``, with their grids of cutoffs in ascending order.
+#: The rules' metrics over the columns of ``with_counts``, with their grids of cutoffs in ascending order. With few labels the first rules only are tested.
 RULES: dict[str, tuple[str, list[float]]] = {
     "symbols": ("n_symbols / n_words", [round(0.02 * 1.2**k, 6) for k in range(32)]),
     "repeats": ("n_repeat_words / n_words", [round(k / 100, 2) for k in range(1, 31)]),
     "capitals": ("n_capitals / word_chars", [round(0.02 * k, 2) for k in range(2, 46)]),
     "duplicate_lines": ("n_dup_lines / n_lines", [round(0.02 * k, 2) for k in range(1, 46)]),
 }
-#: Upper ends of the strata, in words; the last stratum is open.
+#: Upper ends of the length bands, in words; the last band is open.
 BANDS = [50, 100, 200, 400, 800]
 
 
@@ -114,10 +116,33 @@ def at_most(x: Column, n: Column, risk: float) -> Column:
     return F.when((n > 0) & (x < n * risk), F.least(F.lit(1.0), F.exp(log))).otherwise(F.lit(1.0))
 
 
+def labels_needed(rules: int, strata: int, risk: float = 0.01, error: float = 0.05) -> int:
+    """The least number of good labels of a stratum that certifies a cutoff without false rejections."""
+    return math.ceil(math.log(error / (rules * strata)) / math.log1p(-risk / rules))
+
+
+def arrange(good: list[int], risk: float = 0.01, error: float = 0.05) -> tuple[list[int], int]:
+    """(stratum of each band, number of rules tested) from the good labels of each band.
+
+    The most strata of which each can certify all rules; if not even all bands together can, one stratum and the most
+    rules that it can certify, 0 if none.
+    """
+    for strata in range(len(good), 1, -1):
+        need, of, have, at = labels_needed(len(RULES), strata, risk, error), [], 0, 0
+        for n in good:
+            if have >= need and at < strata - 1:
+                have, at = 0, at + 1
+            of.append(at)
+            have += n
+        if at == strata - 1 and have >= need:
+            return of, len(RULES)
+    return [0] * len(good), max((k for k in range(1, len(RULES) + 1) if sum(good) >= labels_needed(k, 1, risk, error)), default=0)
+
+
 def learn_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05) -> DataFrame:
-    """(stratum, cutoffs map<rule, cutoff>), one row per stratum at most, from counted documents and labels (doc_id, quality 0/1).
+    """(stratum, cutoffs map<rule, cutoff>), one row per length band at most, from counted documents and labels (doc_id, quality 0/1).
 
-    Labels of null documents, null labels and labels of documents that fail the base rules are left out; of several
+    Bands of one merged stratum get equal cutoffs; a band without a good label gets none, as nothing was seen of it. Labels of null documents, null labels and labels of documents that fail the base rules are left out; of several
     labels of one document the highest counts. No labels give no rows.
     """
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("__good"))
@@ -127,23 +152,30 @@ def learn_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = 0.01, err
     seen = counted.where("NOT base_failed").select("doc_id", stratum().alias("stratum"), per_rule.alias("r")).join(marks, "doc_id")
     seen = seen.select("stratum", "__good", F.explode("r").alias("r")).groupBy("stratum", "r.rule", "r.over")
     seen = seen.agg(F.sum("__good").cast("long").alias("good"), F.sum(1 - F.col("__good")).cast("long").alias("bad"))
-    # over = k: the metric exceeds the k lowest cutoffs. From here on rows are strata x rules x cutoffs.
+    # over = k: the metric exceeds the k lowest cutoffs. From here on rows are bands x rules x cutoffs.
+    seen = materialize(seen, "bins")
+    counts = dict(seen.where(F.col("rule") == next(iter(RULES))).groupBy("stratum").agg(F.sum("good")).where("stratum IS NOT NULL").collect())
+    bands, rules = arrange([counts.get(i, 0) for i in range(len(BANDS) + 1)], risk, error)
+    covered = F.array(*[F.struct(F.lit(i).alias("stratum"), F.lit(m).alias("merged"), F.lit(bool(counts.get(i))).alias("seen")) for i, m in enumerate(bands)])
+    merged = F.element_at(F.array(*map(F.lit, bands)), F.col("stratum") + 1)
+    seen = seen.withColumn("merged", merged).where(F.col("rule").isin(list(RULES)[:rules]))
     spread = F.create_map(*[x for name, (_, cuts) in RULES.items() for x in (F.lit(name), F.array(*[F.lit(float(c)) for c in cuts]))])
-    group = seen.groupBy("stratum", "rule").agg(F.collect_list(F.struct("over", "good", "bad")).alias("bins"))
+    group = seen.groupBy("merged", "rule").agg(F.collect_list(F.struct("over", "good", "bad")).alias("bins"))
     group = group.select("*", F.posexplode(F.element_at(spread, F.col("rule"))).alias("at", "cutoff"))
     total = lambda name, some: F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(some(b), b[name]).otherwise(0))
     every, beyond = (lambda b: F.lit(True)), (lambda b: b["over"] > F.col("at"))
-    group = group.select("stratum", "rule", "cutoff", *[total(k, f).alias(f"{n}_{k}") for k in ("good", "bad") for n, f in (("all", every), ("out", beyond))])
-    level = error / (len(RULES) * (len(BANDS) + 1))
-    looser = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
-    tested = group.withColumn("p", at_most(F.col("out_good"), F.col("all_good"), risk / len(RULES))).withColumn("held", F.max(F.col("p") > level).over(looser))
+    group = group.select("merged", "rule", "cutoff", *[total(k, f).alias(f"{n}_{k}") for k in ("good", "bad") for n, f in (("all", every), ("out", beyond))])
+    level = error / (max(1, rules) * (max(bands) + 1))
+    looser = Window.partitionBy("merged", "rule").orderBy(F.desc("cutoff"))
+    tested = group.withColumn("p", at_most(F.col("out_good"), F.col("all_good"), risk / max(1, rules))).withColumn("held", F.max(F.col("p") > level).over(looser))
     gain = F.col("out_bad") / F.greatest(F.col("all_bad"), F.lit(1)) - F.col("out_good") / F.greatest(F.col("all_good"), F.lit(1))
-    best = tested.where("NOT held").groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("best"))
-    return best.where("best.gain > 0").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "best.cutoff"))).alias("cutoffs"))
+    best = tested.where("NOT held").groupBy("merged", "rule").agg(F.max(F.struct(gain.alias("gain"), "cutoff")).alias("best"))
+    found = best.where("best.gain > 0").groupBy("merged").agg(F.map_from_entries(F.collect_list(F.struct("rule", "best.cutoff"))).alias("cutoffs"))
+    return found.select("cutoffs", F.explode(F.filter(covered, lambda x: x.seen & (x.merged == F.col("merged")))).alias("x")).select("x.stratum", "cutoffs")
 
 
 def judge(counted: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """counted with kept: false if base_failed or if a metric exceeds its stratum's cutoff. cutoffs has a row per stratum at most."""
+    """counted with kept: false if base_failed or if a metric exceeds its band's cutoff. cutoffs has a row per band at most."""
     out = counted.withColumn("stratum", stratum()).join(F.broadcast(cutoffs), "stratum", "left")
     exceeds = [F.coalesce(F.expr(expr.replace(" / ", " * 1D / nullif(") + ", 0)") > F.element_at("cutoffs", F.lit(name)), F.lit(False)) for name, (expr, _) in RULES.items()]
     broken = F.lit(False)

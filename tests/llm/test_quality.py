@@ -61,6 +61,30 @@ def test_cutoffs_are_the_certified_ones(spark):
     assert not any(kept[r[0]] for r in bad) and sum(kept[r[0]] for r in good) == 4997
 
 
+def test_bands_are_merged_until_labels_certify():
+    need = quality.labels_needed(4, 1)
+    assert cdf(0, need, 0.0025) <= 0.05 / 4 < cdf(0, need - 1, 0.0025)
+    assert quality.arrange([59, 312, 847, 988, 691, 405]) == ([0] * 6, 4)
+    assert quality.arrange([2500] * 6) == ([0, 1, 2, 3, 4, 5], 4)
+    assert quality.arrange([100, 100, 5000, 0, 0, 2500]) == ([0, 0, 0, 1, 1, 1], 4)
+    assert quality.arrange([0, 298, 0, 0, 0, 0])[1] == 0 and quality.arrange([0, 299, 0, 0, 0, 0]) == ([0] * 6, 1)
+
+
+def test_few_labels_in_every_band_still_certify(spark):
+    """No band has 2467 good documents; together they certify symbols at 3302 labels of all rules, at 333 of one rule."""
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_capitals long, n_lines long, base_failed boolean"
+    for sizes in ([59, 312, 847, 988, 691, 405], [0, 50, 90, 100, 60, 33]):
+        words = [n for n, k in zip((30, 70, 150, 300, 500, 900), sizes, strict=True) for _ in range(k)]
+        good = [(i, n, 5 * n, 0, 0, 0, 5 if n > 50 else 0, 10, False) for i, n in enumerate(words)]
+        bad = [(10_000 + i, n, 5 * n, n, 0, 0, 0, 10, False) for i, n in enumerate((30, 70, 150, 300, 500, 900))]
+        counted = spark.createDataFrame(good + bad, schema)
+        labels = spark.createDataFrame([(r[0], int(r[0] < 10_000)) for r in good + bad], "doc_id long, quality int")
+        rows = quality.learn_cutoffs(counted, labels).collect()
+        assert sorted(r.stratum for r in rows) == [i for i, k in enumerate(sizes) if k] and all(set(r.cutoffs) == {"symbols"} for r in rows)
+        kept = {r.doc_id for r in quality.judge(counted, quality.learn_cutoffs(counted, labels)).where("kept").collect()}
+        assert kept == set(range(len(good))) | ({10_000} if not sizes[0] else set())
+
+
 def test_too_few_labels_reject_nothing(docs, spark, none):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     counted = quality.with_counts(docs)
