@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, fold, prepare_workers, text_buffers
 
 BLOCK = 512
+#: Bytes below which phrase limits don't apply: a number or a key may be most of such a text.
+SHORT = 128
 #: Set in a transition that begins a phrase.
 BEGINS = 1 << 30
 _BUILT: dict[tuple, tuple] = {}
@@ -127,8 +129,26 @@ def letters(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def predict(raw: np.ndarray, offsets: np.ndarray, sample: dict[str, bytes]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text: a softmax of costs in phrases, tempered by the root of the least."""
+def phrase_limits(sample: dict[str, bytes], times: float = 2.25, least: int = 4096) -> dict[str, float]:
+    """Phrases a byte beyond which a text isn't of a language: ``times`` what the first half of its training text needs for the second.
+
+    The median over blocks, so single odd documents don't count. A language of fewer than ``least`` bytes has no limit.
+    """
+    out = {}
+    for lang, text in sample.items():
+        half = len(text) // 2
+        if len(text) >= least:
+            offsets = np.arange(half // BLOCK + 1) * BLOCK
+            counts = count_phrases(np.frombuffer(text[half:], np.uint8), offsets, suffix_automaton(text[:half].translate(LOWER.tobytes())))
+            out[lang] = times * float(np.median(counts)) / BLOCK
+    return out
+
+
+def predict(raw: np.ndarray, offsets: np.ndarray, sample: dict[str, bytes], limits: dict[str, float] | None = None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text: a softmax of costs in phrases, tempered by the root of the least.
+
+    With limits, a text of more phrases than its language's limit, and the root of its bytes for chance, is ``und`` if it has SHORT bytes.
+    """
     langs = sorted(k for k, v in sample.items() if v)
     found, scores = letters(raw, offsets), np.zeros(len(offsets) - 1)
     if not langs or not len(scores):
@@ -145,11 +165,16 @@ def predict(raw: np.ndarray, offsets: np.ndarray, sample: dict[str, bytes]) -> t
     best = cost.min(axis=0)
     scores[found] = (1 / np.exp(-(cost - best) / (1 + np.sqrt(best))).sum(axis=0))[found]
     win = cost.argmin(axis=0)
+    if limits:
+        size = np.diff(offsets)
+        phrases = best * np.array([15 / math.log2(len(sample[k]) + 1) for k in langs])[win]
+        found &= (size < SHORT) | (phrases <= np.array([limits.get(k, math.inf) for k in langs])[win] * size + np.sqrt(size))
+        scores[~found] = 0
     return [langs[w] if f else "und" for w, f in zip(win, found, strict=True)], scores
 
 
-def identify(docs: DataFrame, sample: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred (``und`` for a null text, one without a letter, or an empty sample) and score in [0, 1], 0 for ``und``.
+def identify(docs: DataFrame, sample: dict[str, bytes], text_col: str = "text", limits: dict[str, float] | None = None) -> DataFrame:
+    """docs with lang_pred (``und`` for a null text, one without a letter or beyond limits, or an empty sample) and score in [0, 1], 0 for ``und``.
 
     Columns of those names are replaced; rows are judged one by one, so repeats get equal answers.
     """
@@ -160,16 +185,16 @@ def identify(docs: DataFrame, sample: dict[str, bytes], text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = predict(*text_buffers(batch.column(at)), sample)
+            langs, scores = predict(*text_buffers(batch.column(at)), sample, limits)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, types + "lang_pred string, score double")
 
 
 def filter_language(docs: DataFrame, least: float = 0.26) -> DataFrame:
-    """The rows of docs whose language is told: not ``und``, and with a score above an even guess among four."""
+    """The rows of docs whose language is told: not ``und``, within ``phrase_limits``, and with a score of ``least`` or, if that is less, above an even guess."""
     sample = sample_languages(docs.select("doc_id", "text", "lang"))
-    told = identify(docs.select(F.struct("*").alias("row"), "text"), sample)
+    told = identify(docs.select(F.struct("*").alias("row"), "text"), sample, limits=phrase_limits(sample))
     return told.where(F.col("lang_pred") != "und").where(F.col("score") >= min(least, 1.01 / max(1, len(sample)))).select("row.*")
 
 

@@ -54,3 +54,12 @@ def test_undetermined(docs, odd, none, spark):
     df = spark.createDataFrame([(1, "abc", "aa"), (2, None, "aa"), (3, "1 2", None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in language.filter_language(df).collect()] == [1]
     assert language.identify(odd.withColumn("score", F.lit(1)), {"aa": b"x"}).columns[-2:] == ["lang_pred", "score"]
+
+
+def test_unlearned_and_random_texts_are_rejected(spark):
+    letters = random.Random(3)
+    learned = [(i, text(lang, i, 120), lang) for i, lang in enumerate(["aa", "bb"] * 40)]
+    unlearned = [(1000 + i, "".join(letters.choice("qwxyzjkvu ") for _ in range(800)), None) for i in range(10)]
+    unlearned += [(1100 + i, text("cc", i, 150), None) for i in range(10)]
+    df = spark.createDataFrame(learned + unlearned, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language.filter_language(df).collect()} == set(range(80))
