@@ -328,8 +328,11 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one of the least doc_id. Documents without words stay, and
-    rows whose doc_id is null or equal to the least one."""
-    found = join_documents(docs.select("doc_id", "text"), width, percent)
-    gone = found.where("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one document of each component: the one of the least doc_id, nulls last, then of the least hash of its text.
+
+    A document is what rows equal in doc_id and text share, so such rows stay or go together. Documents without words stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    found = join_documents(docs.select(key.alias("doc_id"), "text"), width, percent)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.text").alias("__text"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text")), "left_anti")

@@ -72,6 +72,17 @@ def test_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == 5
 
 
+def test_one_document_of_each_component_stays(spark):
+    """Repeated ids: a unique text of an id whose other row is a near copy; near copies of one id, and of null ids."""
+    words = [[f"{c}{i}" for i in range(200)] for c in "abcde"]
+    copy = lambda k: " ".join([*words[k][:-1], "changed"])
+    a, b, c, d, unique = (" ".join(w) for w in words)
+    rows = [(1, a), (2, copy(0)), (2, unique), (3, b), (3, copy(1)), (None, c), (None, copy(2)), (None, d), (9, copy(3))]
+    left = setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(1, a), (2, unique), (9, copy(3))} <= {tuple(r) for r in left} and len(left) == 5
+    assert sum(r.doc_id == 3 for r in left) == 1 and sum(r.doc_id is None for r in left) == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 120), st.integers(0, 14), st.sampled_from([80, 90]))
 def test_linked_sets_share_a_listing(seed, size, changes, percent):
