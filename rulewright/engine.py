@@ -17,7 +17,7 @@ from .ir import CompiledRuleset, Primitive
 from .operators.hooks import Hook, Phase, run_hooks
 from .plans import lower as lowering
 from .plans.dag import Dag, DagStatistics, choose_plan
-from .plans.prefilter import LiteralPrefilter, PrefilterConfig, PrefilterStats, necessary, suitable
+from .plans.prefilter import LiteralPrefilter, PrefilterConfig, PrefilterStats, necessary
 from .plans.sqltext import any_of, name, sure
 from .sources import ColumnSource, CustomSource, JsonSource, StagedSource, VariantSource, number
 
@@ -98,6 +98,9 @@ class DetectionEngine:
         if match is matchers.number_range and (column := number(source, p.field)) and not (p.modifiers and self.config.semantics == "documented"):
             return matchers.column_range(*column, p.values)
         fold = self.config.semantics == "registry" and "case_sensitive" not in p.modifiers
+        staged = getattr(source, "addresses", {})
+        if match is matchers.cidr and any(f == p.field for f, _ in staged) and not (p.modifiers and self.config.semantics == "documented"):
+            return matchers.in_networks(p.values, lambda part: staged[p.field, part])
         if match is matchers.regex:
             return match(self._field(p, source), p.values, p.modifiers, fold, self.config.reject_dangerous)
         return match(self._field(p, source), p.values, p.modifiers, fold)
@@ -118,22 +121,43 @@ class DetectionEngine:
                 return None
             fields = dict.fromkeys(p.field for p in self.ruleset.primitives)
             return self.prefilter.matches_raw(raw) if raw else self.prefilter.matches([source.field(f) for f in fields])
-        literal = {i for i, p in enumerate(self.ruleset.primitives) if p.match_type in matchers.LITERAL and (suitable(p) or p.match_type in matchers.LITERAL)}
+        literal = {i for i, p in enumerate(self.ruleset.primitives) if p.match_type in matchers.LITERAL}
         found = [necessary(t, literal) for t in self.trees.values()]
         if not found or any(f is None for f in found):
             return None
         return any_of([self.predicate(i, source) for i in sorted(set().union(*found))])
 
+    def _staged(self, df: DataFrame, source, used: list[int]):
+        """df with columns of the texts of fields that take an expression, and of the parts of fields that are compared as addresses; a source of them."""
+        primitives = [self.ruleset.primitives[p] for p in used]
+        fields = [f for f in dict.fromkeys(p.field for p in primitives) if "(" in source.field(f)]
+        columns = {f: f"__f{i}" for i, f in enumerate(fields)}
+        if fields:
+            half = isinstance(source, JsonSource)
+            df = df.selectExpr("*", *[f"{source.raw(f) if half else source.field(f)} AS {columns[f]}" for f in fields])
+            if half:  # the text is got once, then looked at
+                kept = [name(c) for c in df.columns if c not in columns.values()]
+                df = df.selectExpr(*kept, *[f"{source.finished(f, columns[f])} AS {columns[f]}" for f in fields])
+        parts: dict[str, dict[str, None]] = {}
+        for p in primitives:
+            if p.match_type == "cidr" and "cidr" not in self._matchers and not (p.modifiers and self.config.semantics == "documented"):
+                parts.setdefault(p.field, {}).update(dict.fromkeys(matchers.address_parts(p.values)))
+        staged = StagedSource(source, columns)
+        addresses = {(f, k): f"__{k}{i}" for i, (f, need) in enumerate(parts.items()) for k in need}
+        digits = {f: i for i, (f, need) in enumerate(parts.items()) if "h" in need}
+        if digits:
+            df = df.selectExpr("*", *[f"{matchers.address_groups(staged.field(f))} AS __g{i}" for f, i in digits.items()])
+            df = df.selectExpr("*", *[f"{matchers.address_digits(f'__g{i}')} AS __d{i}" for i in digits.values()])
+        if addresses:
+            sql = lambda f, k: matchers.address_number(staged.field(f)) if k == "n" else matchers.address_half(f"__d{digits[f]}", k == "l")
+            df = df.selectExpr("*", *[f"{sql(f, k)} AS {column}" for (f, k), column in addresses.items()])
+        return df, StagedSource(source, columns, addresses)
+
     def _evaluate(self, df: DataFrame, source, raw: str | None = None) -> DataFrame:
         plan = self.config.plan if self.config.plan != "auto" else choose_plan(self.trees, self.primitive_count)
         kept = [name(c) for c in df.columns if c != MATCHED]
         used = self._used()
-        fields = dict.fromkeys(self.ruleset.primitives[p].field for p in used)
-        made = {f: sql for f in fields if "(" in (sql := source.field(f))}
-        if made:
-            columns = {f: f"__f{i}" for i, f in enumerate(made)}
-            df = df.selectExpr("*", *[f"{sql} AS {columns[f]}" for f, sql in made.items()])
-            source = StagedSource(source, columns)
+        df, source = self._staged(df, source, used)
         gate = self.where(source, raw) if self.config.prefilter == "reference" else None
         guard = (lambda x: f"IF({gate}, {x}, CAST(array() AS ARRAY<INT>)) AS {MATCHED}") if gate else (lambda x: f"{x} AS {MATCHED}")
         if plan == "inline" or not used:

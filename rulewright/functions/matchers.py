@@ -64,7 +64,33 @@ def regex(v: str, values: Sequence[str], modifiers: Sequence[str] = (), fold: bo
 
 def address_number(v: str) -> str:
     """SQL of a dotted quad's number; NULL for anything else."""
-    return f"IF({v} RLIKE {text(_V4)}, aggregate(transform(split({v}, '[.]'), y -> try_cast(y AS BIGINT)), 0L, (a, y) -> a * 256 + y), NULL)"
+    terms = " + ".join(f"CAST(substring_index(substring_index({v}, '.', {i + 1}), '.', -1) AS BIGINT) * {256 ** (3 - i)}L" for i in range(4))
+    return f"IF({v} RLIKE {text(_V4)}, {terms}, NULL)"
+
+
+_GROUPS = "(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?"
+
+
+def address_groups(v: str) -> str:
+    """SQL of an IPv6 address as groups with at most one ``::``, a dotted quad at its end as two groups; NULL where that quad is none."""
+    tail = f"substring_index({v}, ':', -1)"
+    quad = f"concat(left({v}, length({v}) - length({tail})), hex(shiftright({address_number(tail)}, 16)), ':', hex({address_number(tail)} & 65535L))"
+    return f"IF(contains({v}, '.'), IF(contains({v}, ':'), {quad}, NULL), {v})"
+
+
+def address_digits(groups: str) -> str:
+    """SQL of the 32 hexadecimal digits of an IPv6 address given as groups; NULL for anything else."""
+    count = lambda x: f"IF({x} = '', 0, length({x}) - length(replace({x}, ':', '')) + 1)"
+    before, after = f"substring_index({groups}, '::', 1)", f"substring_index({groups}, '::', -1)"
+    pad = lambda x: f"regexp_replace(regexp_replace({x}, '([0-9A-Fa-f]+)', '000$1'), '0*([0-9A-Fa-f]{{4}})(:|$)', '$1')"
+    whole = f"{groups} RLIKE '^(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}$'"
+    short = f"{groups} RLIKE '^{_GROUPS}::{_GROUPS}$' AND {count(before)} + {count(after)} <= 7"
+    return f"CASE WHEN {whole} THEN {pad(groups)} WHEN {short} THEN concat({pad(before)}, repeat('0000', 8 - {count(before)} - {count(after)}), {pad(after)}) END"
+
+
+def address_half(digits: str, second: bool) -> str:
+    """SQL of 64 bits of an IPv6 address given as digits."""
+    return f"CAST(conv({'right' if second else 'left'}({digits}, 16), 16, -10) AS BIGINT)"
 
 
 def parse_cidr(value: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network:
@@ -80,43 +106,42 @@ def parse_cidr(value: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network:
     return ipaddress.ip_network((ip, int(length)), strict=False)
 
 
-def _register_v6() -> str:
-    """The function that tells whether an IPv6 address is in a network; Spark has none."""
-    import pandas as pd
-    from pyspark.sql import SparkSession
-    from pyspark.sql.functions import pandas_udf
-
-    def inside(address, network):
-        import ipaddress
+#: SQL of a field's text to what networks are compared with: its IPv4 number and the halves of its IPv6 address.
+ADDRESS = {"n": address_number, "h": lambda v: address_half(address_digits(address_groups(v)), False), "l": lambda v: address_half(address_digits(address_groups(v)), True)}
 
-        known: dict = {}
 
-        def one(a, n):
-            try:
-                if n not in known:
-                    known[n] = ipaddress.ip_network(n)
-                ip = ipaddress.IPv6Address(a)
-                return ip.scope_id is None and ip in known[n]
-            except (ValueError, TypeError):
-                return False
+def address_parts(values: Sequence[str]) -> list[str]:
+    """The parts of an address that a list of networks needs."""
+    found = [parse_cidr(x) for x in _valid(values, lambda x: parse_cidr(x) and x)]
+    need = {"n": any(n.version == 4 for n in found), "h": any(n.version == 6 for n in found), "l": any(n.version == 6 and n.prefixlen > 64 for n in found)}
+    return [k for k, wanted in need.items() if wanted]
 
-        return pd.Series([one(a, n) for a, n in zip(address, network, strict=True)], dtype=bool)
 
-    SparkSession.active().udf.register("rulewright_in_v6", pandas_udf(inside, "boolean"))
-    return "rulewright_in_v6"
+def in_networks(values: Sequence[str], part: Callable[[str], str]) -> str:
+    """SQL of whether an address, of which part gives SQL of the parts, is in any of the networks."""
 
+    def signed(n: int) -> str:
+        return f"CAST('{n - 2**64 if n >= 2**63 else n}' AS BIGINT)"
 
-def cidr(v: str, values: Sequence[str], modifiers: Sequence[str] = (), fold: bool = False) -> str:
     def one(x: str) -> str:
         network = parse_cidr(x)
-        if network.version == 6:
-            return f"{_register_v6()}({v}, {text(str(network))})"
-        shift = 32 - network.prefixlen
-        return f"shiftright({address_number(v)}, {shift}) = {int(network.network_address) >> shift}L"
+        start, length = int(network.network_address), network.prefixlen
+        if network.version == 4:
+            return f"shiftright({part('n')}, {32 - length}) = {start >> 32 - length}L"
+        high, low = start >> 64, start & 2**64 - 1
+        if length == 0:
+            return f"({part('h')} IS NOT NULL)"
+        if length <= 64:
+            return f"shiftrightunsigned({part('h')}, {64 - length}) = {signed(high >> 64 - length)}"
+        return f"({part('h')} = {signed(high)} AND shiftrightunsigned({part('l')}, {128 - length}) = {signed(low >> 128 - length)})"
 
     return any_of(_valid(values, one))
 
 
+def cidr(v: str, values: Sequence[str], modifiers: Sequence[str] = (), fold: bool = False) -> str:
+    return in_networks(values, lambda part: f"({ADDRESS[part](v)})")
+
+
 def _number(x: str) -> int | float:
     if re.fullmatch(r"[+-]?[0-9]+", x) and -(2**63) <= int(x) < 2**63:
         return int(x)

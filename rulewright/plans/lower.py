@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from fnmatch import fnmatchcase
 
-from ..condition import And, Count, Name, Not, Or, parse
+from ..condition import And, Count, Name, Not, parse
 from ..errors import CompilationError, RuleError
 from ..ir import CompiledRule, CompiledRuleset
 
+#: Rules that are evaluated within a whole stage's generated method.
+WHOLE_STAGE = 8
+
 # The lowered tree: ("p", id), ("and" | "or", [trees]), ("not", tree), ("least", n, [trees])
 
 
@@ -52,7 +55,6 @@ def lower(rule: CompiledRule, semantics: str, strict: bool) -> tuple:
             return count(node)
         return ("and" if isinstance(node, And) else "or", [walk(node.left), walk(node.right)])
 
-    assert Or
     return walk(parse(rule.condition, strict=documented or strict))
 
 
@@ -113,11 +115,21 @@ def terms_of(tree: tuple, negated: bool = False, limit: int = 16) -> list[tuple[
 
 
 def matched_rules(trees: dict[int, tuple], leaf) -> str:
-    """SQL of the sorted array of ids of the rules that hold, by one conditional each."""
+    """SQL of the sorted array of ids of the rules that hold, by one conditional each.
+
+    A number that is no rule's id marks the others. Removing it stays under code generation with all that the conditionals
+    contain, which a higher-order function, as that removes nulls, would not. Beyond WHOLE_STAGE rules an element that always is
+    that number has a higher-order function of its own: it keeps the projection out of the stage's single method, which would be
+    too large for the JVM to compile, while a projection by itself is generated as many small methods.
+    """
     if not trees:
         return "CAST(array() AS ARRAY<INT>)"
-    terms = ", ".join(f"IF({to_sql(trees[i], leaf)}, {as_int(i)}, NULL)" for i in sorted(trees, key=signed))
-    return f"array_compact(array({terms}))"
+    ids = {signed(i) for i in trees}
+    none = next(i for i in range(-1, -len(ids) - 2, -1) if i not in ids)
+    terms = ", ".join(f"IF({to_sql(trees[i], leaf)}, {as_int(i)}, {none})" for i in sorted(trees, key=signed))
+    if len(trees) > WHOLE_STAGE:
+        terms += f", IF(size(filter(array({to_sql(next(iter(trees.values())), leaf)}), x -> x)) > 1, 0, {none})"
+    return f"array_remove(array({terms}), {none})"
 
 
 def signed(rule_id: int) -> int:

@@ -69,9 +69,17 @@ class JsonSource:
         self.column = name(column)
 
     def field(self, path: str) -> str:
+        return self.finished(path, self.raw(path))
+
+    def raw(self, path: str) -> str:
+        """SQL of the member's text, an array's or an object's too."""
+        return "CAST(NULL AS STRING)" if "'" in path else f"get_json_object({self.column}, {text(_path(path))})"
+
+    def finished(self, path: str, got: str) -> str:
+        """SQL of the field from SQL of ``raw``: what begins like an array or an object is looked at again."""
         if "'" in path:
-            return "CAST(NULL AS STRING)"
-        got, at = f"get_json_object({self.column}, {text(_path(path))})", text(_path(path).replace("['", '["').replace("']", '"]'))
+            return got
+        at = text(_path(path).replace("['", '["').replace("']", '"]'))
         kind = f"schema_of_variant(try_variant_get(try_parse_json({self.column}), {at}, 'variant'))"
         return f"CASE WHEN left({got}, 1) IN ('{{', '[') AND {kind} RLIKE '^(OBJECT|ARRAY)' THEN NULL ELSE {got} END"
 
@@ -99,10 +107,13 @@ class CustomSource:
 
 
 class StagedSource:
-    """Another source's fields, of which some are columns already: each text is made once, however many predicates use it."""
+    """Another source's fields, of which some are columns already: each text is made once, however many predicates use it.
+
+    addresses: columns of parts of addresses, by field and part.
+    """
 
-    def __init__(self, source, columns: dict[str, str]):
-        self.source, self.columns = source, columns
+    def __init__(self, source, columns: dict[str, str], addresses: dict[tuple[str, str], str] | None = None):
+        self.source, self.columns, self.addresses = source, columns, addresses or {}
 
     def number(self, path: str) -> tuple[str, bool] | None:
         return number(self.source, path)

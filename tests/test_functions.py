@@ -1,5 +1,8 @@
 """Match types and modifiers: all cases of a table in one projection."""
 
+import ipaddress
+import random
+
 import pytest
 
 from rulewright.errors import CompilationError, DangerousRegexPattern, InvalidCidr, InvalidIpAddress, InvalidRange, InvalidRegex, UnsupportedMatchType
@@ -91,3 +94,24 @@ def test_modifiers(spark):
     got = values(spark, [modifiers.DOCUMENTED[m](text(x)) for m, x in (("url_decode", "a%20b"), ("md5", "x"), ("sha1", "x"), ("sha256", ""), ("base64_offset_decode", "=+aGk="), ("unix_timestamp", "1970-01-01 00:01:00"))])
     assert got == ["a b", "9dd4e461268c8034f5c8564e155c67a6", "11f6ad8ec52a2984abaafd7c3b516503785c2072", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "hi", "60"]
     assert len(modifiers.COMPAT) == 34
+
+
+def test_ipv6_addresses_against_the_definition(spark):
+    r = random.Random(7)
+    words = lambda n: ":".join(f"{r.randrange(65536):x}" if r.random() < 0.7 else r.choice(["0", "0000", "FFFF", "00a"]) for _ in range(n))
+    texts = ["::", "::1", "1::", ":", ":::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2::3", "1:2:3:4:5:6:7:8:9", "12345::", "g::", "::1.2.3.4", "::1.2.3.400", "1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "fe80::1%eth0", "", "::ffff:0.0.0.0", "1::1.2.3.4:5", " ::1", "1:", ":1", "1:2:3:4:5:6:7:"]
+    for _ in range(150):
+        n = r.randrange(8)
+        texts += [words(8), f"{words(n)}::{words(max(0, 7 - n - r.randrange(1, 4)))}"]
+    networks = ["::/0", "fe80::/10", "::/96", "::ffff:0:0/96", "1::/16", "1:2:3:4::/64", "1:2:3:4:5:6::/95", "::1/128", "8000::/1", "ffff::/16", "0:0:0:0:8000::/65"]
+
+    def inside(address, network):
+        try:
+            ip = ipaddress.IPv6Address(address)
+            return ip.scope_id is None and ip in ipaddress.ip_network(network)
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, ip string")
+    got = df.selectExpr("n", *[f"coalesce({matchers.cidr('ip', [x])}, false) AS m{i}" for i, x in enumerate(networks)]).collect()
+    assert {(x.n, i) for x in got for i in range(len(networks)) if x[f"m{i}"]} == {(n, i) for n, t in enumerate(texts) for i, x in enumerate(networks) if inside(t, x)}
