@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .compiler import Compiler
 from .config import EngineConfig
@@ -14,7 +15,7 @@ from .functions import matchers, modifiers
 from .functions.matchers import Matcher
 from .functions.modifiers import Modifier
 from .ir import CompiledRuleset, Primitive
-from .operators.hooks import Hook, Phase, run_hooks
+from .operators.hooks import Hook, Phase, literal_hook, run_hooks, value_hook
 from .plans import lower as lowering
 from .plans.dag import Dag, DagStatistics, choose_plan
 from .plans.prefilter import LiteralPrefilter, PrefilterConfig, PrefilterStats, necessary
@@ -35,7 +36,7 @@ class DetectionEngine:
         self._matchers, self._modifiers, self._extractor = match_functions or {}, modifier_functions or {}, extractor
         if sum(p.memory_usage() for p in ruleset.primitives) > self.config.max_memory_bytes:
             raise CompilationError("the rules exceed max_memory_bytes")
-        run_hooks(hooks or {}, ruleset.primitives)
+        run_hooks(hooks or {}, ruleset)
         self.trees, self.dropped = lowering.lower_all(ruleset, self.config.semantics, self.config.strict)
         on = self.config.enable_prefilter and self.config.prefilter != "off"
         self.prefilter = LiteralPrefilter(ruleset.primitives, PrefilterConfig.for_rules() if on else PrefilterConfig.disabled())
@@ -86,7 +87,7 @@ class DetectionEngine:
         if self.config.semantics != "documented":
             return sql
         for m in p.modifiers:
-            function = self._modifiers.get(m) or modifiers.DOCUMENTED.get(m)
+            function = self._modifiers.get(m) or modifiers.documented(m)
             if function:
                 sql = f"({function(sql)})"
         return sql
@@ -211,6 +212,22 @@ class DetectionEngine:
         # an outer explode: for an inner one the optimizer would evaluate all rules once more, as a filter below
         return rows.selectExpr(f"explode_outer({MATCHED}) AS rule_id", *map(name, kept)).where("rule_id IS NOT NULL")
 
+    def evaluate_observed(self, df: DataFrame, observation: Observation, json: str | None = None) -> DataFrame:
+        """``evaluate``, or ``evaluate_raw`` of a column, counting as the rows are read: events, passed (the literal prefilter),
+        dropped by it, matched events, rule matches, and primitives evaluated (each one once an event that passes)."""
+        source = self._source(df, json=json)
+        found = self.where(source, name(json) if json else None)
+        primitives = len(self._used())
+        out = self._evaluate(df.selectExpr("*", f"{sure(found) if found else 'true'} AS __passed"), source, name(json) if json else None)
+        size = F.size(MATCHED)
+        count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+        passed = F.col("__passed")
+        counted = out.observe(
+            observation, F.count(F.lit(1)).alias("events"), count(passed).alias("passed"), count(~passed).alias("dropped"), count(size > 0).alias("matched"),
+            count(size).alias("matches"), (count(passed) * primitives).alias("primitives"),
+        )
+        return counted.drop("__passed")
+
     def evaluate_primitive(self, df: DataFrame, primitive_id: int) -> DataFrame:
         """df with matched boolean."""
         return df.selectExpr("*", f"{sure(self.predicate(primitive_id, self._source(df)))} AS matched")
@@ -261,5 +278,43 @@ class EngineBuilder:
         self._hooks.setdefault(phase, []).append(hook)
         return self
 
+    def with_literal_extraction(self, sink: Callable[[str, float], None]) -> EngineBuilder:
+        """sink(value, selectivity) of every value of a literal primitive, for searches of many patterns."""
+        return self.register_hook(Phase.PRIMITIVE_DISCOVERY, literal_hook(sink))
+
+    def with_value_extraction(self, sink: Callable[[str, str, bool], None]) -> EngineBuilder:
+        """sink(field, value, whether literal) of every value, for ordered sets."""
+        return self.register_hook(Phase.PRIMITIVE_DISCOVERY, value_hook(sink))
+
+    def with_filter_extraction(self, sink: Callable[[str, float], None]) -> EngineBuilder:
+        """sink(value, selectivity) of every value of a literal primitive, for filters of set membership."""
+        return self.register_hook(Phase.PRIMITIVE_DISCOVERY, literal_hook(sink))
+
+    # what is registered
+
+    @property
+    def match_type_count(self) -> int:
+        return len(matchers.MATCHERS.keys() | self._matchers.keys())
+
+    @property
+    def modifier_count(self) -> int:
+        return len(modifiers.COMPAT.keys() | self._modifiers.keys())
+
+    def has_match_type(self, match_type: str) -> bool:
+        return match_type in matchers.MATCHERS or match_type in self._matchers
+
+    def has_modifier(self, modifier: str) -> bool:
+        return modifier in modifiers.COMPAT or modifier in self._modifiers
+
+    def hook_count(self, phase: Phase) -> int:
+        return len(self._hooks.get(phase, []))
+
+    def has_hooks(self, phase: Phase) -> bool:
+        return self.hook_count(phase) > 0
+
+    @property
+    def total_hook_count(self) -> int:
+        return sum(map(len, self._hooks.values()))
+
     def build(self, rules: Iterable[str]) -> DetectionEngine:
         return DetectionEngine.from_rules(rules, self._config, self._compiler, match_functions=self._matchers, modifier_functions=self._modifiers, extractor=self._extractor, hooks=self._hooks)

@@ -5,9 +5,11 @@ Modes: ``compat`` keeps placeholders as they are; ``documented`` does what the n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from ..plans.sqltext import text
+from .regex import to_java
 
 Modifier = Callable[[str], str]
 
@@ -107,8 +109,46 @@ DOCUMENTED: dict[str, Modifier] = COMPAT | {
     "unix_timestamp": lambda x: f"CAST(unix_timestamp(try_to_timestamp({x})) AS STRING)", "iso_timestamp": lambda x: f"date_format(try_to_timestamp({x}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")",
 }
 
-#: The two modifiers of the small default registry.
-DEFAULT = {k: COMPAT[k] for k in ("base64_decode", "utf16_decode")}
+
+
+def _register_gunzip() -> str:
+    """The function that decompresses; Spark has none."""
+    import pandas as pd
+    from pyspark.sql import SparkSession
+    from pyspark.sql.functions import pandas_udf
+
+    def gunzip(data):
+        import zlib
+
+        def one(x):
+            try:
+                return None if x is None else zlib.decompress(bytes(x), 31).decode()
+            except (zlib.error, UnicodeDecodeError):
+                return None
+
+        return pd.Series([one(x) for x in data], dtype=object)
+
+    SparkSession.active().udf.register("rulewright_gunzip", pandas_udf(gunzip, "string"))
+    return "rulewright_gunzip"
+
+
+#: Modifiers that take an argument after a colon, in documented mode: a JSON path, an XPath, a pattern whose first group (or
+#: whole match) is taken, and how compressed bytes are written.
+WITH_ARGUMENT: dict[str, Callable[[str, str], str]] = {
+    "json_extract": lambda x, path: f"get_json_object({x}, {text(path)})",
+    "xml_extract": lambda x, path: f"IF({x} RLIKE '^\\\\s*<', xpath_string({x}, {text(path)}), NULL)",
+    "regex_extract": lambda x, pattern: f"IF({x} RLIKE {text(to_java(pattern))}, regexp_extract({x}, {text(to_java(pattern))}, {min(1, re.compile(pattern).groups)}), NULL)",
+    "gzip_decode": lambda x, form: f"{_register_gunzip()}(try_to_binary({x}, {text(form)}))",
+}
+
+
+def documented(modifier: str) -> Modifier | None:
+    """By name, with its argument if it has one."""
+    label, colon, argument = modifier.partition(":")
+    if colon and label in WITH_ARGUMENT:
+        return lambda x: WITH_ARGUMENT[label](x, argument)
+    return DOCUMENTED.get(modifier)
+
 
 #: Names that steer matching and are no functions.
 FLAGS = {"case_sensitive", "all"}

@@ -27,6 +27,17 @@ class Primitive:
     def has_modifiers(self) -> bool:
         return bool(self.modifiers)
 
+    def field_path_string(self) -> str:
+        """The field's path as written; a dot steps into an object."""
+        return self.field
+
+    def matches(self, text: str | None) -> bool:
+        """Whether a text matches, for literal match types without modifiers: a check of single values on the driver."""
+        tests = {"equals": str.__eq__, "exact": str.__eq__, "contains": str.__contains__, "startswith": str.startswith, "endswith": str.endswith}
+        if self.match_type not in tests or self.modifiers:
+            raise ValueError("evaluate this one with an engine")
+        return text is not None and any(tests[self.match_type](text, v) for v in self.values)
+
     def memory_usage(self) -> int:
         """Bytes of its strings, about."""
         return len(self.field) + len(self.match_type) + sum(map(len, self.values)) + sum(map(len, self.modifiers)) + 24 * (2 + len(self.values) + len(self.modifiers))
@@ -47,6 +58,16 @@ class CompiledRuleset:
 
     primitives: list[Primitive] = field(default_factory=list)
     rules: list[CompiledRule] = field(default_factory=list)
+    #: Of each primitive the rule that it came with and its field's name there; of each rule its title.
+    origins: list[tuple[int, str]] = field(default_factory=list)
+    titles: dict[int, str] = field(default_factory=dict)
+
+    @property
+    def primitive_count(self) -> int:
+        return len(self.primitives)
+
+    def get_primitive(self, primitive_id: int) -> Primitive | None:
+        return self.primitives[primitive_id] if 0 <= primitive_id < len(self.primitives) else None
 
     def to_df(self, spark):
         """(primitive_id, field, match_type, values, modifiers)."""

@@ -74,13 +74,36 @@ class FilterIntegration:
     def selective_patterns(self, most: float) -> list[str]:
         return [v for v, s in self.values["filter"].items() if s <= most]
 
+    def regex_patterns(self) -> list[str]:
+        return list(self.values["regex"])
+
+    def bloom_values(self) -> list[str]:
+        return list(self.values["bloom"])
+
+    def xor_values(self) -> list[str]:
+        return list(self.values["xor"])
+
+    def zero_copy_patterns(self) -> list[str]:
+        return list(self.values["zero_copy"])
+
+    def distribution(self) -> dict[str, int]:
+        """Values by tenths of selectivity, of the kind that each value has last."""
+        last: dict[str, float] = {}
+        for kind in self.values.values():
+            last |= kind
+        return dict(sorted(Counter(f"{min(9, int(s * 10)) / 10:.1f}" for s in last.values()).items()))
+
     def field_patterns(self, field: str) -> list[str]:
         return list(self.fields.get(field, {}))
 
-    def statistics(self) -> dict[str, float | int | str | None]:
-        every = [s for kind in self.values.values() for s in kind.values()]
+    def statistics(self) -> dict[str, float | int | str | None | dict[str, int]]:
+        """Numbers of values by kind, of fields, the average selectivity of values, the field with the most, and the distribution."""
+        last: dict[str, float] = {}
+        for kind in self.values.values():
+            last |= kind
+        every = list(last.values())
         most = max(self.fields, key=lambda f: len(self.fields[f]), default=None)
-        return {k: len(v) for k, v in self.values.items()} | {"average_selectivity": sum(every) / len(every) if every else 0.5, "most_frequent_field": most}
+        return {k: len(v) for k, v in self.values.items()} | {"average_selectivity": sum(every) / len(every) if every else 0.5, "most_frequent_field": most, "unique_fields": len(self.fields), "distribution": self.distribution()}
 
 
 def pattern_frequency(primitives: DataFrame) -> DataFrame:

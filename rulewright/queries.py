@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .compiler import Compiler
 from .config import EngineConfig
 from .engine import DetectionEngine
-from .functions.modifiers import COMPAT, DOCUMENTED
-from .ir import FieldMapping
+from .functions.modifiers import COMPAT, DOCUMENTED, documented
+from .ir import FieldMapping, Primitive
 from .operators.filters import FilterIntegration, pattern_frequency
+from .operators.hooks import Phase
+from .plans.dag import Dag
 from .plans.prefilter import LiteralPrefilter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,7 +84,7 @@ def _by_name(query: str, match_type: str, values: list[str], modifiers: list[str
     """Match types that no keyword reaches, by evaluating a primitive."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .ir import CompiledRuleset, Primitive
+        from .ir import CompiledRuleset
 
         table = "lineitem" if match_type == "range_dash" else "part"
         field, key = ("l_linenumber", "l_orderkey") if match_type == "range_dash" else ("p_type", "p_partkey")
@@ -294,6 +296,144 @@ ORACLE_SQL["e_find_matches"] = (
 )
 
 
+def _find_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in all fields of an event, with their primitives."""
+    engine = DetectionEngine.from_rules([rule(1, "s", s="{event_type: click, 'props|contains': k}")])
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props")
+    return LiteralPrefilter(engine.ruleset.primitives).find_matches(events, "event_id").selectExpr("event_id", "field", "pattern", "start", "array_join(primitive_ids, ',') AS ids")
+
+
+def _literals(query: str, make: Callable[[LiteralPrefilter], str], oracle: str) -> None:
+    """A column made by a prefilter's SQL over events."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = DetectionEngine.from_rules([rule(1, "s", s="{event_type: [click, view], 'props|contains': 'none of this'}")])
+        return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{make(LiteralPrefilter(engine.ruleset.primitives))} AS found")
+
+    QUERIES[query], ORACLE_SQL[query] = run, f"SELECT event_id, {oracle} AS found FROM events"
+
+
+QUERIES["e_find_matches_event"] = _find_anywhere
+ORACLE_SQL["e_find_matches_event"] = (
+    "SELECT event_id, 'event_type' AS field, 'click' AS pattern, CAST(0 AS INT) AS start, '0' AS ids FROM events WHERE event_type = 'click' "
+    "UNION ALL SELECT event_id, 'props', 'k', CAST(strpos(props, 'k') - 1 AS INT), '1' FROM events"
+)
+_literals("e_prefilter_has_match", lambda f: f.has_match("event_type"), "event_type IN ('click', 'view')")
+_literals("e_prefilter_matches", lambda f: f.matches(["event_type", "CAST(user_id AS STRING)"]), "event_type IN ('click', 'view')")
+_literals("e_prefilter_raw", lambda f: f.matches_raw("concat(event_type, props)"), "event_type IN ('click', 'view')")
+
+
+# values of modifiers' documented forms
+_modifier("f_json_extract_path", "json_extract:$.k", "events", "event_id", "props", "json_extract_string(x, '$.k')", {"json_extract:$.k": documented("json_extract:$.k")})
+_modifier("f_xml_extract_path", "xml_extract:/a/b", "part", "p_partkey", "concat('<a><b>', p_size, '</b><c>', p_brand, '</c></a>')", "regexp_extract(x, '<b>(.*?)</b>', 1)", {"xml_extract:/a/b": documented("xml_extract:/a/b")})
+_modifier("f_regex_extract_pattern", "regex_extract:t([a-z]+)", "events", "event_id", "concat('at', event_type)", "substr(x, 3)", {"regex_extract:t([a-z]+)": documented("regex_extract:t([a-z]+)")})
+_modifier("f_gzip_decode_base64", "gzip_decode:base64", "part", "p_partkey", "CASE WHEN p_partkey % 2 = 0 THEN 'H4sIAAAAAAAC/8tIzcnJBwCGphA2BQAAAA==' ELSE 'aGk=' END", "CASE WHEN p_partkey % 2 = 0 THEN 'hello' END", {"gzip_decode:base64": documented("gzip_decode:base64")})
+_modifier("f_unix_timestamp_documented", "unix_timestamp", "events", "event_id", "concat('2024-01-', CASE WHEN event_id % 2 = 0 THEN '02' ELSE '03' END, ' 00:00:10')", "CASE WHEN event_id % 2 = 0 THEN '1704153610' ELSE '1704240010' END", DOCUMENTED)
+_modifier("f_iso_timestamp_documented", "iso_timestamp", "events", "event_id", "concat('2024-01-02 03:04:', CASE WHEN event_id % 2 = 0 THEN '05' ELSE '59' END)", "concat(replace(x, ' ', 'T'), 'Z')", DOCUMENTED)
+for _name, _given in (("utf16le_decode", "concat(p_type, chr(0))"), ("utf16be_decode", "concat(chr(0), left(p_type, 1))")):
+    _modifier(f"f_{_name}_documented", _name, "part", "p_partkey", "concat(left(p_type, 1), chr(0))" if _name == "utf16le_decode" else _given, "replace(x, chr(0), '')", DOCUMENTED)
+_modifier("f_utf16_decode_documented", "utf16_decode", "part", "p_partkey", "concat(chr(0), left(p_type, 1), chr(0), 'x')", "replace(x, chr(0), '')", DOCUMENTED)
+
+
+# keywords of modifiers, in rules
+def _keyword(query: str, keyword: str, made: str, value: str, where: str) -> None:
+    """A rule whose field, an expression over events, is decoded before it is compared."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{made} AS x")
+        return DetectionEngine.from_rules([rule(1, "s", s=f"{{'x|{keyword}': {value}}}")], EngineConfig(semantics="documented")).alerts(events, keep=["event_id"])
+
+    QUERIES[query], ORACLE_SQL[query] = run, f"SELECT 1 AS rule_id, event_id FROM events WHERE {where}"
+
+
+_keyword("k_base64", "base64", "base64(CAST(event_type AS BINARY))", "click", "event_type = 'click'")
+_keyword("k_base64_contains", "base64|contains", "base64(CAST(event_type AS BINARY))", "ie", "event_type = 'view'")
+_keyword("k_base64offset", "base64offset", "concat('=', base64(CAST(event_type AS BINARY)))", "error", "event_type = 'error'")
+_keyword("k_wide", "wide", "regexp_replace(event_type, '(.)', concat('$1', chr(0)))", "view", "event_type = 'view'")
+_keyword("k_utf16le", "utf16le", "regexp_replace(event_type, '(.)', concat('$1', chr(0)))", "view", "event_type = 'view'")
+_keyword("k_utf16be", "utf16be", "regexp_replace(event_type, '(.)', concat(chr(0), '$1'))", "signup", "event_type = 'signup'")
+_keyword("k_utf16", "utf16", "regexp_replace(event_type, '(.)', concat(chr(0), '$1'))", "signup", "event_type = 'signup'")
+_keyword("k_json_extract", "json_extract:$.k", "props", "'7'", "json_extract_string(props, '$.k') = '7'")
+
+
+# building an engine, and what it tells of itself
+def _own_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A match type, a modifier and fields of one's own."""
+    builder = DetectionEngine.builder().register_match("longer", lambda v, values, modifiers, fold: f"length({v}) > {int(values[0])}")
+    builder = builder.register_modifier("shout", lambda x: f"concat(upper({x}), '!')").with_field_extractor(lambda path: "event_type" if path == "Kind" else None)
+    engine = builder.with_config(EngineConfig(semantics="documented")).build([rule(1, "a or b", a="{'Kind|shout': 'VIEW!'}", b="{'Kind|shout|contains': 'PUR'}")])
+    engine.ruleset.primitives.append(Primitive("Kind", "longer", ("5",)))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    rows = engine.evaluate_primitive(events, 2).withColumnRenamed("matched", "long")
+    return engine.evaluate(rows).selectExpr("event_id", "long", "size(matched_rules) = 1 AS found")
+
+
+QUERIES["e_own_parts"] = _own_parts
+ORACLE_SQL["e_own_parts"] = "SELECT event_id, length(event_type) > 5 AS long, event_type IN ('view', 'purchase') AS found FROM events"
+
+
+def _told(query: str, make: Callable[[], list[tuple[str, str]]], oracle: list[tuple[str, str]]) -> None:
+    """Facts of an engine or a builder, as rows (name, value)."""
+    QUERIES[query] = lambda spark, sf_dir: spark.createDataFrame(make(), "name string, value string")
+    ORACLE_SQL[query] = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in oracle) + ") t(name, value)"
+
+
+def _seen_by_hooks() -> list[tuple[str, str]]:
+    seen: list[tuple[str, str]] = []
+    builder = DetectionEngine.builder().with_literal_extraction(lambda v, s: seen.append(("literal", f"{v} {s}"))).with_value_extraction(lambda f, v, literal: seen.append((f, f"{v} {literal}")))
+    for phase in Phase:
+        builder.register_hook(phase, lambda c: seen.append((c.phase.name.lower(), f"{c.rule_id} {c.rule_name} {c.raw_field} {c.literal_value_count} {c.is_summary}")))
+    builder.with_compiler(Compiler(FieldMapping(mappings={"Kind": "event_type"}))).build(["title: one\n" + rule(4, "s", s="{Kind: [view, 'c*'], 'value|startswith': '1'}")])
+    return [*seen, ("hooks", str(builder.total_hook_count)), ("discovery", str(builder.hook_count(Phase.PRIMITIVE_DISCOVERY)))]
+
+
+_told("e_hooks", _seen_by_hooks, [
+    ("pre_compilation", "4 one  0 True"), ("event_type", "view False"), ("event_type", "c* False"), ("primitive_discovery", "4 one Kind 2 False"), ("literal", "1 0.2"), ("value", "1 True"),
+    ("primitive_discovery", "4 one value 1 False"), ("post_compilation", "4 one  0 True"), ("hooks", "5"), ("discovery", "3"),
+])
+
+
+def _builder_facts() -> list[tuple[str, str]]:
+    b = DetectionEngine.builder().register_match("longer", lambda *a: "true").register_modifier("shout", lambda x: x)
+    return [("match types", str(b.match_type_count)), ("modifiers", str(b.modifier_count)), ("longer", str(b.has_match_type("longer"))), ("other", str(b.has_match_type("other"))), ("shout", str(b.has_modifier("shout"))), ("hooks", str(b.has_hooks(Phase.PRE_COMPILATION)))]
+
+
+_told("e_registry", _builder_facts, [("match types", "9"), ("modifiers", "35"), ("longer", "True"), ("other", "False"), ("shout", "True"), ("hooks", "False")])
+
+
+def _graph_facts() -> list[tuple[str, str]]:
+    engine = DetectionEngine.from_rules(_THREE)
+    dag, s = engine.dag, engine.statistics()
+    dag.validate()
+    spare = dag.add_node("primitive", 99)
+    facts = {"rules": engine.rule_count, "primitives": engine.primitive_count, "has 11": engine.contains_rule(11), "has 9": engine.contains_rule(9), "nodes": s.total_nodes, "results": s.result_nodes, "depth": s.max_depth}
+    facts |= {"spare is leaf": dag.is_leaf(spare), "spare is root": dag.is_root(spare), "after optimize": len(dag.optimize().nodes), "of primitives": len(Dag.from_primitives(4).nodes), "no node": dag.get_node(99)}
+    return [(k, str(v)) for k, v in facts.items()]
+
+
+_told("e_graph", _graph_facts, [
+    ("rules", "3"), ("primitives", "5"), ("has 11", "True"), ("has 9", "False"), ("nodes", "11"), ("results", "3"), ("depth", "4"), ("spare is leaf", "True"), ("spare is root", "True"),
+    ("after optimize", "11"), ("of primitives", "8"), ("no node", "None"),
+])
+
+
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an evaluation counts as its rows are read."""
+    seen = Observation("counters")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "value", "user_id")
+    DetectionEngine.from_rules(_THREE).evaluate_observed(events, seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(k, v) for k, v in seen.get.items()], "counter string, n long")
+
+
+QUERIES["e_counters"] = _counters
+_OR = " OR ".join(f"({w})" for _, w in _THREE_SQL)
+_TYPES_SEEN = "event_type IN ('purchase', 'error', 'view', 'click')"
+ORACLE_SQL["e_counters"] = (
+    f"SELECT unnest(['events', 'passed', 'dropped', 'matched', 'matches', 'primitives']) AS counter, unnest([count(*), count(*) FILTER ({_TYPES_SEEN}), count(*) FILTER (NOT {_TYPES_SEEN}), count(*) FILTER ({_OR}), "
+    + " + ".join(f"count(*) FILTER ({w})" for _, w in _THREE_SQL) + f", 5 * count(*) FILTER ({_TYPES_SEEN})]) AS n FROM events"
+)
+
+
 # patterns for other filters
 def _ruleset():
     return DetectionEngine.from_rules(scale_rules(40)).ruleset

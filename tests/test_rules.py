@@ -13,6 +13,7 @@ from rulewright.plans.dag import sharing_potential, should_use_dag
 from rulewright.plans.lower import terms_of
 from rulewright.plans.prefilter import LiteralPrefilter, PrefilterConfig, necessary, selectivity, suitable
 from rulewright.queries import rule
+from rulewright.sources import rules_from_dir
 
 
 def test_tokens():
@@ -128,3 +129,37 @@ def test_hooks_and_filters():
         DetectionEngine.builder().register_hook(Phase.PRE_COMPILATION, fail).build([])
     with pytest.raises(CompilationError):
         DetectionEngine.from_rules([rule(1, "s", s="{A: x}")], EngineConfig(max_memory_bytes=3))
+
+
+def test_a_folder_of_rules(tmp_path):
+    """Files of several shapes, below several folders; one is malformed."""
+    texts = {
+        "a/one.yml": "title: Shell from an office program\nid: 1\ndetection:\n  parent: {ParentImage|endswith: ['\\word.exe', '\\excel.exe']}\n  child: {Image|endswith: '\\cmd.exe'}\n  condition: parent and child\n",
+        "a/two.yaml": "id: 2\ndetection:\n  port: {DestinationPort: [4444, 1337]}\n  own: {DestinationIp|cidr: 10.0.0.0/8}\n  condition: port and not own\n",
+        "b/three.yml": "id: 3\ndetection:\n  sel_a: {EventID: 4688}\n  sel_b: {CommandLine|contains: ['-enc', 'IEX']}\n  sel_c: {CommandLine|re: 'https?://'}\n  condition: 2 of sel_*\n",
+        "b/readme.txt": "no rule",
+    }
+    for name, body in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    engine = DetectionEngine.from_rules(rules_from_dir(str(tmp_path)))
+    assert sorted(engine.trees) == [1, 2, 3] and engine.primitive_count == 7 and engine.ruleset.titles == {1: "Shell from an office program"}
+    assert engine.trees[3][0] == "least"
+    (tmp_path / "b" / "bad.yml").write_text("id: 4\ndetection:\n  s: {A: 1}\n")
+    with pytest.raises(CompilationError):
+        DetectionEngine.from_rules(rules_from_dir(str(tmp_path)))
+
+
+def test_compiler_tells_what_it_has():
+    c = Compiler()
+    c.compile_rule(rule(3, "a and b", a="{A: 1}", b="{'B|contains': [x, y]}"))
+    assert c.primitive_count == 2 and c.current_selection_map == {"a": [0], "b": [1]} and c.primitives[1].field_path_string() == "B"
+    assert c.primitives[0].matches("1") and c.primitives[1].matches("axb") and not c.primitives[1].matches(None)
+    done = c.into_ruleset()
+    assert done.primitive_count == 2 and done.get_primitive(5) is None and c.primitive_count == 0
+
+
+def test_prefilter_limit_is_looked_at_after_each_value():
+    with pytest.warns(UserWarning, match="full"):
+        f = LiteralPrefilter([Primitive("A", "equals", ("x", "y", "x")), Primitive("B", "contains", ("x", "z"))], PrefilterConfig(max_patterns=3))
+    assert list(f.exact) == ["x", "y"] and list(f.within) == ["x"] and f.patterns["x"] == {0, 1}
