@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import U64, mix, prepare_workers, span_hashes
+from .common import U64, map_batches, mix, prepare_workers, span_hashes
 
 MEMO = 400_000
 _LOADED: dict[str, Codec] = {}
@@ -151,7 +151,7 @@ def _with(df: DataFrame, made: str, kind: str, make, text_col: str, ranks_path:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, make(tool, batch.column(at))], [*kept, made])
 
-    return df.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{types}`{made}` {kind}")
+    return map_batches(df.select(*[f"`{c}`" for c in kept]), run, f"{types}`{made}` {kind}")
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -185,4 +185,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
             back = [sha(tool.decode(x)) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(text, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,10 +6,13 @@ UTF-8 buffer is then handled with numpy, without one Python object per row.
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -18,13 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; a worker holds a few batches at a time.
-BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 2 << 20
 
 U64 = np.uint64
-_LUT = np.random.RandomState(20240613).randint(0, 2**63 - 1, 256).astype(U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_POWERS = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
-
 #: 0x20 and 0x09 to 0x0D separate words everywhere in this subpackage.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -43,24 +42,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str | None:
+    """The shared folder as a path, where it is mounted; None if only Spark's readers can open it, which leaves tasks their own folders."""
+    path = shared_dir(spark)
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return path if path.startswith("/") else None
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and no executor's loss loses it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._rulewright_path = path
+    out._rulewright_paths = [path]
     return out
 
 
 def discard(*written: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and that nothing reads any more, and let go of finished shuffles' files."""
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
     context = written[0].sparkSession.sparkContext
-    for df in written:
-        path = context._jvm.org.apache.hadoop.fs.Path(df._rulewright_path)
+    for path in (context._jvm.org.apache.hadoop.fs.Path(x) for df in written for x in df._rulewright_paths):
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let go of finished shuffles' files: Spark's cleaner removes them once the driver has collected what referred to them."""
     gc.collect()
-    context._jvm.System.gc()  # Spark's cleaner removes shuffle files once the driver has collected what referred to them
+    spark.sparkContext._jvm.System.gc()
 
 
 def prepare_workers(spark: SparkSession) -> None:
@@ -78,20 +88,25 @@ def prepare_workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), whose workers give back the memory that they don't need any more at a task's end."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(trimmed, schema)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def powers(kind: str, n: int) -> np.ndarray:
-    """The first n powers of the hash base (up) or of its inverse (down), modulo 2**64."""
-    if len(_POWERS[kind]) < n:
-        step = np.full(max(n, 1 << 16), _BASE if kind == "up" else pow(_BASE, -1, 1 << 64), U64)
-        step[0] = 1
-        _POWERS[kind] = np.multiply.accumulate(step)
-    return _POWERS[kind][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers whose every output bit depends on every input bit."""
     x = x ^ (x >> U64(30))
@@ -101,6 +116,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def chain(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """h with one more 64-bit value taken in: for a given h or a given value a bijection, and no linear one."""
+    return mix((h ^ value) * U64(0xD6E8FEB86659FD93) + U64(0xA0761D6478BD642F))
+
+
+def eight_bytes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as an integer, zeros beyond the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary Arrow array and its n + 1 offsets, from 0; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -114,11 +140,24 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def prefix_hashes(raw: np.ndarray) -> np.ndarray:
-    """s with s[j] - s[i] = sum of byte values times base**position: hashes of all substrings by subtraction."""
-    out = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_LUT[raw] * powers("up", len(raw)), out=out[1:])
-    return out
+def windows(raw: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of the ``size`` bytes from each position, by doubling; size is a power of two, 8 at least."""
+    h = eight_bytes(raw)[: max(0, len(raw) - 7)] * U64(0x9E3779B97F4A7C15 + 2 * seed)
+    n = 8
+    while n < size:
+        h ^= h >> U64(31)
+        h = h[: max(0, len(h) - n)] * U64(0xD6E8FEB86659FD93 + 2 * seed) + h[n:]
+        n *= 2
+    return mix(h)
+
+
+def long_hashes(hashes: np.ndarray, size: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of raw[start:start + length], of ``size`` bytes at least, from ``windows`` of that size; the last one overlaps."""
+    h = mix(length.astype(U64) + U64(0x9E3779B97F4A7C15))
+    for k in range(0, int(length.max(initial=0)), size):
+        i = np.flatnonzero(length > k)
+        h[i] = chain(h[i], hashes[start[i] + np.minimum(k, length[i] - size)])
+    return h
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,9 +176,33 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[start:end], equal for equal bytes wherever they stand."""
-    sums = prefix_hashes(raw)
-    return mix((sums[ends] - sums[starts]) * powers("down", len(raw) + 1)[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of raw[start:end], equal for equal bytes wherever they stand.
+
+    Eight bytes at a time are mixed in, so that no structure of the bytes makes different spans collide; spans of more than
+    64 bytes are hashed one by one by BLAKE2.
+    """
+    size = ends - starts
+    words = eight_bytes(raw)
+    h = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+    for k in range(0, min(64, int(size.max(initial=0))), 8):
+        i = np.flatnonzero(size > k)
+        left = np.minimum(size[i] - k, 8).astype(U64)
+        h[i] = chain(h[i], words[starts[i] + k] & (~U64(0) >> (U64(64) - U64(8) * left)))
+    for i in np.flatnonzero(size > 64):
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def sorted_by(group: np.ndarray, n_groups: int, key: np.ndarray) -> np.ndarray:
+    """Indices that order by (group, key), from one sort of 64-bit integers; ties of its shortened keys are sorted in full."""
+    bits = U64(max(1, int(n_groups).bit_length()))
+    short = (group.astype(U64) << (U64(64) - bits)) | (key >> bits)
+    order = np.argsort(short)
+    short, whole = short[order], key[order]
+    tie = short[1:] == short[:-1]
+    if np.any(tie & (whole[1:] != whole[:-1])):
+        return np.lexsort((key, group))
+    return order
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +222,8 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     total = np.zeros(len(first), U64)
     for i in range(width):
         inside = i < length
-        total[inside] = mix(total[inside] * U64(0xD6E8FEB86659FD93) + h[first[inside] + i] + U64(i + 1))
-    order = np.lexsort((total, text))
+        total[inside] = chain(total[inside], h[first[inside] + i])
+    order = sorted_by(text, len(made), total)
     text, total = text[order], total[order]
     keep = np.ones(len(text), bool)
     keep[1:] = (text[1:] != text[:-1]) | (total[1:] != total[:-1])

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, root long) of every end of edges (a, b long): the least id of its component.
 
     Rounds of two joins: every id takes the least root among its neighbours' and its own, then the root of that root,
-    until none changes. A round's table is written, so a lost executor costs a round at most.
+    until none changes. A round's table is written, so a lost executor costs a round at most; it goes when the next one is there.
     """
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).toDF("id", "to").distinct()
     both = materialize(both, f"{name}-edges")
-    roots = materialize(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("root")), name)
+    roots = table = materialize(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("root")), name)
     while True:
         near = both.join(roots.toDF("to", "r"), "to").groupBy("id").agg(F.min("r").alias("near"))
         least = roots.join(near, "id", "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("root"))
@@ -24,10 +24,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         found = least.groupBy(F.col("was").alias("old")).agg(F.min("root").alias("new"))
         hooked = least.join(found, F.col("was") == F.col("old"), "left").select("id", "was", F.least("root", F.coalesce("new", "root")).alias("root"))
         hooked = materialize(hooked, name)
+        discard(table)
         jump = hooked.select(F.col("id").alias("root"), F.col("root").alias("next"))
         after = hooked.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("next", "root")).alias("root"))
-        after = materialize(after, name)
-        changed = after.where("was <> root").limit(1).count()
-        roots = after.select("id", "root")
-        if not changed:
+        table = materialize(after, name)
+        discard(hooked)
+        roots = table.select("id", "root")
+        roots._rulewright_paths = table._rulewright_paths
+        if table.where("was <> root").isEmpty():
+            discard(both)
             return roots

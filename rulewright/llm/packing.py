@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare_workers
+from .common import map_batches, materialize, prepare_workers
 
 #: Words after which a worker's memo grows old (it keeps the one before, too), and pieces ranked in one group.
 MEMO, GROUP = 200_000, 500_000
@@ -142,7 +142,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.list_(pa.int64()))] * with_ids], names)
 
     types = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, types)
+    return map_batches(docs.select(id_col, text_col), run, types)
 
 
 def reduce_by_dominance(count: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -274,7 +274,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(runs[run, 4])], [*kept, "sequence_id", "offset"])
 
     types = "".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}, " for c in kept)
-    return ranked.mapInArrow(place, types + "sequence_id long, offset long")
+    return map_batches(ranked, place, types + "sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
