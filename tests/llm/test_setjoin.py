@@ -85,17 +85,52 @@ def test_one_document_of_each_component_stays(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 120), st.integers(0, 14), st.sampled_from([80, 90]))
-def test_linked_sets_share_a_listing(seed, size, changes, percent):
+def test_linked_sets_share_a_block(seed, size, changes, percent):
     r = np.random.default_rng(seed)
     x = np.unique(r.integers(0, 2**64, size, dtype=np.uint64))
     y = np.unique(np.concatenate([x[changes // 2 :], r.integers(0, 2**64, changes - changes // 2, dtype=np.uint64)]))
     d = len(np.setxor1d(x, y))
-    row, sig, nth = setjoin.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent)
-    blocks = [{(s, n + k) for s, n in zip(sig[row == i].tolist(), nth[row == i].tolist(), strict=True) for k in (0, 1)} for i in (0, 1)]
+    ranks = r.integers(0, 4, 1 << 10).astype(np.uint8)
+    first, bounds = setjoin.prefixes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), percent, ranks)
+    starts, blocks = setjoin.scale(percent), []
+    for own, a, b in zip((x, y), bounds[:-1], bounds[1:], strict=True):
+        nth = np.searchsorted(starts, len(own) - np.arange(b - a), "right")
+        blocks.append({(e, n + k) for e, n in zip(first[a:b].tolist(), nth.tolist(), strict=True) for k in (0, 1)})
     if len(x) and len(y) and d <= setjoin.allowance(len(x) + len(y), percent):
         assert blocks[0] & blocks[1]
 
 
+def doubled(times):
+    """A word of a and b and its complement, which agree in every polynomial hash modulo a power of two."""
+    x, y = "a", "b"
+    for _ in range(times):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_of_no_common_hash(spark):
+    x, y = doubled(10)
+    rows = [(i, f"one two three {w} five six seven") for i, w in ((1, x), (2, y), (3, "four"))] + [(4, x), (5, y), (6, y)]
+    got = sorted(tuple(r) for r in setjoin.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == brute(rows, 3, 90) and [r[2] for r in got] == [1, 2, 3, 4, 5, 5]
+
+
+@pytest.mark.parametrize("with_base", [False, True])
+def test_stars(spark, with_base):
+    """Copies of one text that link to it but not to each other, with and without it, beside a chain."""
+    base = [f"b{i}" for i in range(80)]
+    rows = [(1000, " ".join(base))] * with_base
+    for i in range(70):
+        w = list(base)
+        w[i] = f"own{i}"
+        w[(i * 7 + 9) % 80] = f"too{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(2000 + i, t) for i, t in enumerate(family(5, 30, 90, 2, True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in setjoin.join_documents(df, 3, 90).collect()), key=repr)
+    assert got == brute(rows, 3, 90)
+
+
 def test_graph(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)]
