@@ -5,11 +5,14 @@ uniformly random permutation of all rows, is a row of a random matrix with those
 before any row moves. Each partition permutes its rows locally and deals them out by its matrix row, one exchange
 moves them, and each cell permutes what it got. Everything is DataFrame and SQL expressions.
 
-Shards are divided into cells of at most ``rows_per_cell`` rows, so that no task holds a whole shard. The matrix is
-drawn by halving the list of partitions: a node has a list of partitions and the room left to it in each cell, the
-left half's share is multivariate hypergeometric, and the right half gets the rest. Nodes of one level are
-independent rows. The permutations order rows by a hash of (seed, the row's values): a recomputed task gives the
-same answer, and only rows that are equal in every column tie, for which either order is the same result.
+The matrix is drawn by halving the list of partitions: a node has a list of partitions and the room left to it in each
+shard, the left half's share is multivariate hypergeometric, and the right half gets the rest. Nodes of one level are
+independent rows. The permutations order rows by hashes of (seed, partition, place in the partition): a recomputed task
+gives the same answer, and rows of equal values are told apart by their places.
+
+A shard is permuted in cells, ranges of the second hash of about ``cell_bytes``, so that no task holds a whole shard. Which
+rows a cell gets follows from places and the matrix alone, so cells are counted without reading a row, and the counts give
+each cell its first slot.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Matrix entries up to which it is broadcast (16 MB); a larger one is joined by a shuffle.
-BROADCAST_ENTRIES = 2_000_000
-#: Entries of a matrix row that are searched at once.
-CHUNK = 64
+#: Entries of a table up to which it is broadcast (32 MB); a larger one is joined by a shuffle.
+BROADCAST_ENTRIES = 4_000_000
+#: Places that are counted from one row.
+CHUNK = 1 << 16
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,22 +94,16 @@ def hypergeometric(draws: Column, good: Column, total: Column, uniform: Column)
     return _let(bounds, choose)
 
 
-def communication_matrix(counts: DataFrame, n_shards: int, rows_per_cell: int, seed: int, n_blocks: int) -> DataFrame:
-    """(block, rows, cells, ends): for each source partition the running totals of its rows per cell, exact margins.
+def communication_matrix(counts: DataFrame, n_shards: int, seed: int, n_blocks: int) -> DataFrame:
+    """(block, n, ends): for each source partition its rows and their running totals by shard, exact margins.
 
-    counts: (block int, n long), one row per source partition, n_blocks of them. Cell t is cell t % cells of shard
-    t // cells. The list of counts is one row per partition, never one per record.
+    counts: (block int, n long), one row per source partition, n_blocks of them. The list of counts is one row per
+    partition, never one per record; a node has an entry per shard.
     """
     parts = F.sort_array(F.collect_list(F.struct("block", "n")))
     nodes = counts.groupBy().agg(parts.alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows")).where("rows > 0")
-    nodes = nodes.withColumn("cells", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rows") / (n_shards * rows_per_cell))))
-    in_shard = lambda s: F.floor(F.col("rows") / n_shards) + (s < F.col("rows") % n_shards).cast("long")
-
-    def room(t: Column) -> Column:
-        shard, cell = F.floor(t / F.col("cells")), t % F.col("cells")
-        return (F.floor(in_shard(shard) / F.col("cells")) + (cell < in_shard(shard) % F.col("cells")).cast("long")).cast("long")
-
-    nodes = nodes.withColumn("room", F.transform(F.sequence(F.lit(0).cast("long"), n_shards * F.col("cells") - 1), room))
+    in_shard = lambda s: (F.floor(F.col("rows") / n_shards) + (s < F.col("rows") % n_shards).cast("long")).cast("long")
+    nodes = nodes.select("parts", F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), in_shard).alias("room"))
     for level in range(max(0, math.ceil(math.log2(max(1, n_blocks))))):
         half = F.floor(F.size("parts") / 2).cast("int")
         left = F.slice("parts", 1, half)
@@ -130,49 +127,73 @@ def communication_matrix(counts: DataFrame, n_shards: int, rows_per_cell: int, s
             F.struct(F.expr("slice(parts, CAST(floor(size(parts) / 2) AS INT) + 1, size(parts))").alias("parts"), rest.alias("room")),
         )
         whole = F.array(F.struct("parts", "room"))
-        nodes = nodes.select("rows", "cells", F.explode(F.when(F.size("parts") > 1, halves).otherwise(whole)).alias("node")).select("rows", "cells", "node.*")
+        nodes = nodes.select(F.explode(F.when(F.size("parts") > 1, halves).otherwise(whole)).alias("node")).select("node.*")
         if level == 8:  # up to 512 nodes are drawn in one task, the rest side by side
             nodes = nodes.repartition(F.element_at("parts", 1)["block"])
     running = F.aggregate("room", F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(x + F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(F.lit(0)))))
-    return nodes.select(F.element_at("parts", 1)["block"].alias("block"), "rows", "cells", running.alias("ends"))
+    one = F.element_at("parts", 1)
+    return nodes.select(one["block"].alias("block"), one["n"].alias("n"), running.alias("ends"))
+
+
+def _target(place: Column, ends: Column) -> Column:
+    """The shard of the row at a place of its partition's permutation."""
+    return F.size(F.filter(ends, lambda e: e <= place))
+
+
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed + 1), "block", "place")
 
 
-def shuffle_to_shards(df: DataFrame, n_shards: int = 24, seed: int = 1, rows_per_cell: int = 500_000, stable: bool = True) -> DataFrame:
+def _cell(key: Column, cells: int) -> Column:
+    """The cell of a key: cells are equal ranges of the key's upper bits."""
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(cells), 32).cast("int")
+
+
+def first_slots(matrix: DataFrame, seed: int, cells: int) -> DataFrame:
+    """(shard, cell, base long): the slot that a cell begins with, counted from the matrix: every place of every partition has its shard and its key."""
+    last = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long"))
+    chunks = matrix.where("n > 0").select("block", "n", "ends", F.explode(last).alias("from")).repartition("block", "from")
+    places = chunks.select("block", "ends", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK, F.col("n")) - 1)).alias("place"))
+    sizes = places.groupBy(_target(F.col("place"), F.col("ends")).alias("shard"), _cell(_key(seed), cells).alias("cell")).agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("shard", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("base"))
+
+
+def shuffle_to_shards(df: DataFrame, n_shards: int = 24, seed: int = 1, cell_bytes: int = 8 << 20, stable: bool = True) -> DataFrame:
     """All rows of df with shard int and slot long: a uniform shuffle whose shards differ by a row at most.
 
     Slots are gapless from 0 in each shard. Columns of df that are called shard or slot are replaced. Nulls, empty
     or long texts and repeated rows are rows like any other; an empty df gives no rows; fewer rows than shards leave
     the last shards empty. df is planned twice, to count and to deal, and must be split alike both times: true
-    of files; pass stable=False for anything else and it is written in the shared folder first.
+    of files while the cluster's size stays, and a partition with more rows than were counted raises an error; pass stable=False
+    for anything else and it is written in the shared folder first.
     """
     if not stable:
         df = materialize(df, "shard-input")
     kept = [c for c in df.columns if c not in ("shard", "slot")]
     counts = materialize(df.groupBy(F.spark_partition_id().alias("block")).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "shard-counts")
-    n_blocks, rows = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
-    matrix = communication_matrix(counts, n_shards, rows_per_cell, seed, n_blocks)
-    if n_blocks * n_shards * max(1, -(-(rows or 0) // (n_shards * rows_per_cell))) <= BROADCAST_ENTRIES:
+    n_blocks, rows = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cells = min(-(-size // (n_shards * cell_bytes)), rows // n_shards) or 1
+    matrix = materialize(communication_matrix(counts, n_shards, seed, n_blocks), "shard-matrix")
+    bases = first_slots(matrix, seed, cells)
+    if n_blocks * n_shards <= BROADCAST_ENTRIES:
         matrix = F.broadcast(matrix)
-
-    row = F.struct(*[F.col(f"`{c}`") for c in kept])
-    local = df.select(row.alias("row"), F.spark_partition_id().alias("block"))
-    local = local.select("row", "block", F.xxhash64(F.lit(seed), "row").alias("key")).sortWithinPartitions("key")
-    local = local.select("row", "block", "key", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place"))
-    dealt = local.join(matrix, "block")
-    coarse = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.size("ends") / CHUNK).cast("int") - 1),
-        lambda i: F.element_at(F.col("ends"), F.least((i + 1) * CHUNK, F.size("ends"))),
-    )
-    dealt = dealt.withColumn("chunk", F.size(F.filter(coarse, lambda e: e <= F.col("place"))))
-    target = F.col("chunk") * CHUNK + F.size(F.filter(F.slice("ends", F.col("chunk") * CHUNK + 1, CHUNK), lambda e: e <= F.col("place")))
-    dealt = dealt.select("row", "key", "rows", "cells", target.cast("long").alias("target"))
-    dealt = dealt.select("row", "key", "rows", "cells", F.floor(F.col("target") / F.col("cells")).cast("int").alias("shard"), (F.col("target") % F.col("cells")).alias("cell"))
-
-    within = Window.partitionBy("shard", "cell").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key")
-    size = F.floor(F.col("rows") / n_shards) + (F.col("shard") < F.col("rows") % n_shards).cast("long")
-    base = F.col("cell") * F.floor(size / F.col("cells")) + F.least(F.col("cell"), size % F.col("cells"))
-    slot = (base + F.row_number().over(within) - 1).cast("long")
-    return dealt.select("row", "shard", slot.alias("slot")).select("row.*", "shard", "slot")
+    if n_shards * cells <= BROADCAST_ENTRIES // 2:
+        bases = F.broadcast(bases)
+
+    row, at = F.struct(*[F.col(f"`{c}`") for c in kept]), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    local = df.select(row.alias("row"), F.spark_partition_id().alias("block"), at.alias("at"))
+    local = local.select("row", "block", F.xxhash64(F.lit(seed), "block", "at").alias("order"), "at").sortWithinPartitions("order", "at")
+    local = local.select("row", "block", at.alias("place"))
+    dealt = local.join(matrix, "block", "left")
+    moved = F.raise_error(F.lit("the input was split in another way than when it was counted; pass stable=False")).cast("int")
+    shard = F.when(F.col("place") < F.col("n"), _target(F.col("place"), F.col("ends"))).otherwise(moved)
+    dealt = dealt.select("row", shard.alias("shard"), _key(seed).alias("key"), "block", "place")
+    dealt = dealt.select("row", "shard", _cell(F.col("key"), cells).alias("cell"), "key", "block", "place")
+    within = Window.partitionBy("shard", "cell").orderBy("key", "block", "place")
+    dealt = dealt.join(bases, ["shard", "cell"]).select("row", "shard", (F.col("base") + F.row_number().over(within) - 1).cast("long").alias("slot"))
+    return dealt.select("row.*", "shard", "slot")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

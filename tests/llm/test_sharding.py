@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from rulewright.llm import sharding
 from rulewright.llm.sharding import communication_matrix, hypergeometric, shuffle_to_shards
 
 
@@ -22,17 +24,16 @@ def test_draws_follow_the_distribution(spark):
 def test_matrix_has_its_margins(spark):
     sizes = [random.Random(3).randrange(50) for _ in range(13)]
     counts = spark.createDataFrame([(i, n) for i, n in enumerate(sizes) if n], "block int, n long")
-    rows = communication_matrix(counts, 5, 10, 4, 13).collect()
+    rows = communication_matrix(counts, 5, 4, 13).collect()
     cells = [[b - a for a, b in zip([0, *r.ends], r.ends)] for r in rows]
-    assert {r.block: r.ends[-1] for r in rows} == {i: n for i, n in enumerate(sizes) if n}
-    per_cell = [sum(c) for c in zip(*cells)]
-    per_shard = [sum(per_cell[i * rows[0].cells : (i + 1) * rows[0].cells]) for i in range(5)]
+    assert {r.block: r.ends[-1] for r in rows} == {r.block: r.n for r in rows} == {i: n for i, n in enumerate(sizes) if n}
+    per_shard = [sum(c) for c in zip(*cells)]
     assert sum(per_shard) == sum(sizes) and max(per_shard) - min(per_shard) <= 1 and min(min(c) for c in cells) >= 0
 
 
 def test_shards_are_exact_and_lose_nothing(docs, corpus):
-    for per_cell in (500_000, 4):
-        rows = shuffle_to_shards(docs, 6, rows_per_cell=per_cell, stable=False).collect()
+    for cell_bytes in (8 << 20, 1000):
+        rows = shuffle_to_shards(docs, 6, cell_bytes=cell_bytes, stable=False).collect()
         assert Counter((r.doc_id, r.text) for r in rows) == Counter(corpus)
         sizes = Counter(r.shard for r in rows)
         assert set(sizes) <= set(range(6)) and max(sizes.values()) - min(sizes[s] for s in range(6)) <= 1
@@ -50,6 +51,29 @@ def test_is_a_shuffle(spark):
     assert again != place
 
 
+def test_equal_rows_are_shuffled(spark):
+    """40 equal rows among 4040: as spread over shards and slots as 40 others."""
+    df = spark.range(4040).select(F.when(F.col("id") % 101 == 50, -1).otherwise(F.col("id")).alias("id")).coalesce(1)
+    shards, near = Counter(), []
+    for seed in range(3):
+        rows = [r for r in shuffle_to_shards(df, 8, seed=seed, cell_bytes=500, stable=False).collect() if r.id == -1]
+        assert len(rows) == 40
+        shards.update(r.shard for r in rows)
+        slots = sorted((r.shard, r.slot) for r in rows)
+        near.append(sum(a[0] == b[0] and b[1] - a[1] == 1 for a, b in zip(slots, slots[1:])))
+    assert len(shards) == 8 and max(shards.values()) <= 30  # 15 of each expected
+    assert sum(near) <= 6  # 1.2 expected
+
+
+def test_a_split_that_changed_is_noticed(spark, tmp_path, monkeypatch):
+    spark.range(1000).repartition(4).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    real = sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda counts, *rest: real(counts.where("block > 0"), *rest))
+    with pytest.raises(Exception, match="split in another way"):
+        shuffle_to_shards(df, 3).collect()
+
+
 def test_odd_rows(odd, none):
     rows = shuffle_to_shards(odd, 3, stable=False).collect()
     assert len(rows) == 5 and Counter(r.shard for r in rows) == {0: 2, 1: 2, 2: 1}
