@@ -3,11 +3,14 @@
 A phrase is the longest prefix of what is left of the document that occurs in the language's training text; a suffix
 automaton of that text finds it byte by byte. The cost of a document is its phrases times log2 of the training
 text's length, per byte. Documents are parsed in blocks of 512 bytes, side by side with numpy: one step advances
-every block of a batch by one byte through a dense transition table. A phrase ends at a block's end in every
-language alike.
-
-Training text is a bounded sample: of each language, ``rows`` documents with the smallest hashes of doc_id, cut to
-``sample_bytes`` in total. The text is sent to executors, which build the automata once.
+every block of a batch by one byte through a dense transition table. All blocks first begin a phrase; then each but a
+text's first is parsed again from the state in which the block before ends, until it is in the state that it was in
+before at the same place, from where on nothing changes. Blocks that end in another state have the next one parsed
+again. So phrases are those of the whole text, and parses that started apart soon agree.
+
+Training text is a bounded sample of whole texts: of each language, at most ``rows`` documents with the smallest hashes of
+doc_id, as many as have ``sample_bytes`` in total, none longer than an eighth of that where there are shorter ones. The text
+is sent to executors, which build the automata once.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, prepare_workers, text_buffers
+from .common import LOWER, fold, map_batches, prepare_workers, text_buffers
 
 BLOCK = 512
 #: Bytes below which phrase limits don't apply: a number or a key may be most of such a text.
@@ -76,8 +79,12 @@ def suffix_automaton(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return classes, table.ravel()
 
 
-def count_phrases(raw: np.ndarray, offsets: np.ndarray, automaton: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Phrases of each text, all texts' blocks at once."""
+def _advance(table: np.ndarray, width: int, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return table[(state & (BEGINS - 1)).astype(np.int64) * width + codes]
+
+
+def count_phrases(raw: np.ndarray, offsets: np.ndarray, automaton: tuple[np.ndarray, np.ndarray], step: int = 4096) -> np.ndarray:
+    """Phrases of each text, ``step`` blocks of all texts at once."""
     classes, table = automaton
     width = int(classes.max()) + 1
     size = np.diff(offsets)
@@ -88,31 +95,55 @@ def count_phrases(raw: np.ndarray, offsets: np.ndarray, automaton: tuple[np.ndar
     stop = np.minimum(start + BLOCK, offsets[1:][text])
     codes = np.concatenate([classes[LOWER[raw]], np.zeros(BLOCK, classes.dtype)])
     phrases = np.zeros(len(text), np.int64)
-    step = 8192  # blocks at once
+    initial = len(table) // width - 1
+    ended = np.full(1, initial, np.int32)  # the state in which the last chunk of blocks ends
     for a in range(0, len(text), step):
         at, end = start[a : a + step], stop[a : a + step]
         grid = codes[at[:, None] + np.arange(BLOCK)]
         grid[np.arange(BLOCK) >= (end - at)[:, None]] = 0
         grid = np.ascontiguousarray(grid.T)
-        state = np.full(len(at), len(table) // width - 1, np.int64)
-        begun = np.zeros(len(at), np.int32)
-        for row in grid:
-            state *= width
-            state += row
-            to = table[state]
-            begun += to >> 30
-            state = (to & (BEGINS - 1)).astype(np.int64)
+        seen = np.empty(grid.shape, np.int32)  # transitions taken
+        state = np.full(len(at), initial, np.int32)
+        begun = np.zeros(len(at), np.int64)
+        for k, row in enumerate(grid):
+            seen[k] = state = _advance(table, width, state, row)
+            begun += state >> 30
+        lanes = np.flatnonzero(nth[a : a + step] > 0)
+        while len(lanes):
+            before = np.where(lanes > 0, seen[-1, lanes - 1], ended)
+            state, active, late = before, lanes, []
+            for k in range(BLOCK):
+                state = _advance(table, width, state, grid[k, active])
+                was = seen[k, active]
+                begun[active] += (state >> 30) - (was >> 30)
+                seen[k, active] = state
+                apart = (state ^ was) & (BEGINS - 1) != 0
+                if not apart.all():
+                    state, active = state[apart], active[apart]
+                    if not len(active):
+                        break
+            late = active + 1 if len(active) else active
+            late = late[late < len(at)]
+            lanes = late[nth[a + late] > 0]
         phrases[a : a + step] = begun
+        ended = seen[-1, -1:]
     return np.bincount(text, phrases, len(size)).astype(np.int64)
 
 
 def sample_languages(docs: DataFrame, rows: int = 60, sample_bytes: int = 32_768) -> dict[str, bytes]:
-    """Training text by language from (doc_id, text, lang): of each, ``rows`` documents of smallest hash, cut to sample_bytes."""
+    """Training text by language from (doc_id, text, lang): whole texts of smallest hash, at most ``rows`` and ``sample_bytes`` of each.
+
+    Texts of more than an eighth of sample_bytes are taken after all others; only if a language has no text within
+    sample_bytes, its first one is cut to that.
+    """
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64(F.lit(7), "doc_id"))
-    share = docs.groupBy("lang").count().select("lang", (F.least(F.lit(1.0), 4 * rows / F.col("count")) * 2.0**63).alias("top"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    few = docs.join(F.broadcast(share), "lang").where(F.abs(F.col("h").cast("double")) <= F.col("top")).drop("top")
-    picked = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows).select("lang", "n", F.substring("text", 1, sample_bytes // 8).alias("text"))
+    docs = docs.withColumn("size", F.octet_length("text")).withColumn("long", F.col("size") > sample_bytes // 8)
+    share = docs.groupBy("lang", "long").count().select("lang", "long", (F.least(F.lit(1.0), 4 * rows / F.col("count")) * 2.0**63).alias("top"))
+    first = Window.partitionBy("lang").orderBy("long", "h", "text")
+    few = docs.join(F.broadcast(share), ["lang", "long"]).where(F.abs(F.col("h").cast("double")) <= F.col("top")).drop("top")
+    few = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows)
+    few = few.withColumn("all", F.sum(F.col("size") + 1).over(Window.partitionBy("lang").orderBy("n")))
+    picked = few.where((F.col("all") <= sample_bytes + 1) | (F.col("n") == 1)).select("lang", "n", F.substring("text", 1, sample_bytes).alias("text"))
     out: dict[str, list[str]] = {}
     for lang, _, text in sorted(picked.collect()):
         out.setdefault(lang, []).append(text)
@@ -188,7 +219,7 @@ def identify(docs: DataFrame, sample: dict[str, bytes], text_col: str = "text",
             langs, scores = predict(*text_buffers(batch.column(at)), sample, limits)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, types + "lang_pred string, score double")
+    return map_batches(docs.select(*[f"`{c}`" for c in kept]), run, types + "lang_pred string, score double")
 
 
 def filter_language(docs: DataFrame, least: float = 0.26) -> DataFrame:

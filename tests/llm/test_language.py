@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rulewright.llm import language
@@ -15,28 +16,37 @@ def text(lang, seed, words):
 
 
 def brute_phrases(data, training):
-    """Greedy longest matches, block by block."""
-    n = 0
-    for a in range(0, len(data), language.BLOCK):
-        block, i = data[a : a + language.BLOCK], 0
-        while i < len(block):
-            k = 1
-            while i + k < len(block) and block[i : i + k + 1] in training:
-                k += 1
-            i += k
-            n += 1
+    """Greedy longest matches over the whole text."""
+    n = i = 0
+    while i < len(data):
+        k = 1
+        while i + k < len(data) and data[i : i + k + 1] in training:
+            k += 1
+        i += k
+        n += 1
     return n
 
 
-def test_phrases_are_longest_matches():
-    training = (text("aa", 1, 200) + "\n" + text("aa", 2, 100)).encode()
-    texts = [x.encode() for x in ("", "a", "ZZZ", "ABC abc", text("aa", 3, 400), text("cc", 3, 300), "a" * 1500, "\x00é")]
+@pytest.mark.parametrize("step", [3, 8192])
+def test_phrases_are_longest_matches(step):
+    training = (text("aa", 1, 200) + "\n" + text("aa", 2, 300)).encode()
+    assert len(training) > 3000
+    texts = [x.encode() for x in ("", "a", "ZZZ", "ABC abc", text("aa", 3, 400), text("cc", 3, 300), "a" * 1500, "\x00é", text("aa", 1, 200), "x" + text("aa", 2, 300) + text("aa", 4, 900))]
+    texts += [training, b"Z" + training[5:2500] + training, training * 2]
     raw = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    got = language.count_phrases(raw, offsets, language.suffix_automaton(training)).tolist()
+    got = language.count_phrases(raw, offsets, language.suffix_automaton(training), step).tolist()
     assert got == [brute_phrases(t.lower() if t.isascii() else t, training) for t in texts]
 
 
+def test_samples_are_whole_texts(spark):
+    rows = [(i, "abc " * (1 + i * 40), "aa") for i in range(30)] + [(100 + i, "x" * 3000, "bb") for i in range(3)] + [(200, "y" * 9000, "cc")]
+    sample = language.sample_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=4000)
+    texts = {t for _, t, _ in rows}
+    assert all(t in texts for t in sample["aa"].decode().split("\n")) and 900 < len(sample["aa"]) <= 4000
+    assert sample["bb"] == b"x" * 3000 and sample["cc"] == b"y" * 4000
+
+
 def test_held_out_accuracy(spark):
     rows = [(i, text(lang, i, 5 + i % 60), lang) for i, lang in enumerate(list(LETTERS) * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
