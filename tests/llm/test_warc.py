@@ -47,10 +47,39 @@ def test_tables(spark):
     pages = [(1, "http://a/", PAGE, "x"), (None, None, None, None), (2, "http://b/\r\nX: y", "", "x"), (1, "http://a/", PAGE, "x")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, kind string")
     rows = warc.build_derivatives(df, DATE).collect()
-    assert len(rows) == 8 and len({r.record_id for r in rows}) == 6
+    assert len(rows) == 12 and len({r.record_id for r in rows}) == 9
+    assert {r.refers_to for r in rows} - {None} == {r.record_id for r in rows if r.kind == "response"}
     for r in rows:
         ((headers, block),) = warc.parse(bytes(r.record))
-        assert headers["WARC-Record-ID"] == r.record_id and headers["WARC-Refers-To"] == r.refers_to and len(block) == r.content_length and "X" not in headers
+        assert headers["WARC-Record-ID"] == r.record_id and headers.get("WARC-Refers-To") == r.refers_to and len(block) == r.content_length and "X" not in headers
     assert warc.build_derivatives(df.where("false")).collect() == []
     files = spark.createDataFrame([(1, b"".join(warc.write(*warc.respond("http://a/", PAGE, DATE)) for _ in range(2))), (2, None), (3, b"junk")], "page_id long, warc binary")
     assert [r.kind for r in warc.build_derivatives(files).collect()] == ["conversion", "metadata"] * 2
+    same = spark.createDataFrame([(1, "http://a/", PAGE), (2, "http://a/", PAGE)], "page_id long, url string, html string")
+    assert len({r.record_id for r in warc.build_derivatives(same, DATE).collect()}) == 6
+
+
+def test_all_source_headers_are_kept():
+    top = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nLink: <x>\r\nContent-Type: text/html\r\n\r\n"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Concurrent-To: <urn:uuid:2>\r\nWARC-Concurrent-To: <urn:uuid:3>\r\nWARC-IP-Address: 1.2.3.4\r\nWARC-Warcinfo-ID: <urn:uuid:9>\r\nContent-Length: %d\r\n\r\n" % (len(top) + 2) + top + b"hi\r\n\r\n"
+    ((headers, block),) = warc.parse(record)
+    _, (_, fields) = warc.derive(headers, block)
+    lines = fields.decode().split("\r\n")
+    for wanted in ("http-Set-Cookie: a=1", "http-Set-Cookie: b=2", "http-Link: <x>", "source-WARC-Concurrent-To: <urn:uuid:2>", "source-WARC-Concurrent-To: <urn:uuid:3>", "source-WARC-IP-Address: 1.2.3.4", "source-WARC-Warcinfo-ID: <urn:uuid:9>"):
+        assert wanted in lines
+    ((again, _),) = warc.parse(warc.write(headers, block))
+    assert [p for p in again.pairs if p[0] != "Content-Length"] == [p for p in headers.pairs if p[0] != "Content-Length"]
+
+
+def test_codings():
+    import zlib
+
+    raw = zlib.compressobj(wbits=-15)
+    chunked = b"4;x=y\r\n<p>o\r\n2\r\nne\r\n0\r\n\r\n"
+    cases = [(b"Transfer-Encoding: chunked", chunked), (b"Content-Encoding: deflate", zlib.compress(b"<p>one")), (b"Content-Encoding: deflate", raw.compress(b"<p>one") + raw.flush())]
+    cases += [(b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked", b"%x\r\n" % len(gzip.compress(b"<p>one")) + gzip.compress(b"<p>one") + b"\r\n0\r\n\r\n")]
+    for header, body in cases:
+        (_, text), _ = warc.derive({"WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\n" + header + b"\r\n\r\n" + body)
+        assert text == b"one"
+    (_, text), (_, fields) = warc.derive({"WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n\x0b\x02")
+    assert text == b"" and b"unsupported-coding: br" in fields
