@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare_workers
+from .common import map_batches, prepare_workers
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
@@ -42,8 +42,10 @@ def _netpbm(data: bytes) -> np.ndarray:
         raise ValueError("bad header")
     n = width * height * channels
     if kind == 1:
-        body = re.sub(rb"#[^\n\r]*", b"", data[at:])
-        out = 1 - np.frombuffer(re.sub(rb"\s", b"", body)[:n], np.uint8).astype(np.int64) + 48
+        body = re.sub(rb"\s", b"", re.sub(rb"#[^\n\r]*", b"", data[at:]))[:n]
+        if body.strip(b"01"):
+            raise ValueError("neither 0 nor 1")
+        out = 49 - np.frombuffer(body, np.uint8).astype(np.int64)
     elif kind in (2, 3):
         out = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.int64)
     elif kind == 4:
@@ -54,6 +56,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         out = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at + 1)
     if out.size != n:
         raise ValueError("too short")
+    if top < 255 or out.dtype != np.uint8:
+        if out.min() < 0 or out.max() > top:
+            raise ValueError("a sample above the greatest one")
     if top == 255 and out.dtype == np.uint8:
         return out.reshape(height, width, channels)
     return ((out.astype(np.int64) * 255 + top // 2) // top).astype(np.uint8).reshape(height, width, channels)
@@ -62,7 +67,8 @@ def _netpbm(data: bytes) -> np.ndarray:
 def _bmp(data: bytes) -> np.ndarray:
     word = lambda at, n=4: int.from_bytes(data[at : at + n], "little", signed=n == 4)
     start, head, width, height, bits = word(10), word(14), word(18), word(22), word(28, 2)
-    if head < 40 or word(30) not in (0, 3) or (word(30) == 3 and bits != 32) or width < 1 or not height:
+    masks = tuple(data[54:66]) if word(30) == 3 and bits == 32 else None  # only blue, green, red in this order are read
+    if head < 40 or word(30) not in (0, 3) or (word(30) == 3 and masks != (0, 0, 255, 0, 0, 255, 0, 0, 255, 0, 0, 0)) or width < 1 or not height:
         raise ValueError("not an uncompressed bitmap")
     line = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(data, np.uint8, line * abs(height), start).reshape(abs(height), line)
@@ -89,12 +95,12 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The exact mean of the source area under each target pixel, rounded half up; (height, width, channels)."""
+def area_resize(image: np.ndarray, height: int, width: int, band_bytes: int = 4 << 20) -> np.ndarray:
+    """The exact mean of the source area under each target pixel, rounded half up; (height, width, channels).
+
+    The integral image is made in bands of rows of about ``band_bytes``, of which only the rows at target edges are kept.
+    """
     h, w, c = image.shape
-    total = np.zeros((h + 1, w + 1, c), np.int64)
-    np.cumsum(image, axis=0, out=total[1:, 1:], dtype=np.int64)
-    np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
 
     def at(edges: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         whole = edges * size // n  # edge = edges * size / n
@@ -103,8 +109,19 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     r, fr = at(np.arange(height + 1), height, h)
     s, fs = at(np.arange(width + 1), width, w)
     r1, s1 = np.minimum(r + 1, h), np.minimum(s + 1, w)
+    needed = np.unique(np.concatenate([r, r1]))
+    total = np.zeros((len(needed), w + 1, c), np.int64)
+    step, carry = max(1, band_bytes // (8 * (w + 1) * c)), np.zeros((w + 1, c), np.int64)
+    for a in range(0, h, step):
+        band = np.zeros((min(step, h - a) + 1, w + 1, c), np.int64)
+        np.cumsum(image[a : a + step], axis=0, out=band[1:, 1:], dtype=np.int64)
+        np.cumsum(band[1:, 1:], axis=1, out=band[1:, 1:])
+        band += carry
+        some = (needed >= a) & (needed < a + len(band))
+        total[some], carry = band[needed[some] - a], band[-1]
+    top, bottom = np.searchsorted(needed, r), np.searchsorted(needed, r1)
     fr, fs = fr[:, None, None], fs[None, :, None]
-    rows = total[r] * (height - fr) + total[r1] * fr  # scaled by height, then by width: all integers
+    rows = total[top] * (height - fr) + total[bottom] * fr  # scaled by height, then by width: all integers
     both = rows[:, s] * (width - fs) + rows[:, s1] * fs
     area = np.diff(np.diff(both, axis=0), axis=1)
     return ((2 * area + h * w) // (2 * h * w)).astype(np.uint8)
@@ -147,7 +164,7 @@ def store_payload(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 media.append(encode_pgm(np.frombuffer(data, np.uint8).reshape(-1, line)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(store, f"id {kind}, n_bytes long, media binary")
+    return map_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), store, f"id {kind}, n_bytes long, media binary")
 
 
 def describe_media(df: DataFrame, media_col: str = "media", tile: int = 32) -> DataFrame:
@@ -173,7 +190,7 @@ def describe_media(df: DataFrame, media_col: str = "media", tile: int = 32) -> D
             arrays = [pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*kept, media_col, *new])
 
-    return df.select(*[f"`{c}`" for c in kept], media_col).mapInArrow(describe, types + "width int, height int, channels int, samples binary, tile binary, dhash string")
+    return map_batches(df.select(*[f"`{c}`" for c in kept], media_col), describe, types + "width int, height int, channels int, samples binary, tile binary, dhash string")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -192,6 +209,6 @@ def op2(spark, sf_dir: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return seen.select("id", "n_bytes", "samples", "media", "tile", "dhash").mapInArrow(
+    return map_batches(seen.select("id", "n_bytes", "samples", "media", "tile", "dhash"),
         digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )

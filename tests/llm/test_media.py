@@ -2,6 +2,7 @@ import hashlib
 import io
 
 import numpy as np
+import pytest
 
 from rulewright.llm import media
 
@@ -55,3 +56,34 @@ def test_bad_images_are_null(spark):
     df = spark.createDataFrame([(1, b"P5\n1 1\n255\n\x07", "w"), (2, b"nope", "w"), (3, None, None)], "id int, media binary, width string")
     rows = {r.id: r for r in media.describe_media(df).collect()}
     assert rows[1].width == 1 and rows[2].dhash is None and rows[3].tile is None
+
+
+def test_samples_out_of_range_are_refused():
+    for bad in (b"P2\n2 1\n100\n5 101", b"P5\n2 1\n100\n\x05\x65", b"P1\n2 1\n1 7", b"P2\n1 1\n9\n-1", b"P5\n1 1\n300\n\x01\x2d"):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+
+
+def bitmap(bits, height, rows, palette=b"", compression=0, width=2):
+    start = 54 + len(palette)
+    n = lambda x, k=4: x.to_bytes(k, "little", signed=x < 0)
+    return b"BM" + n(0) + n(0) + n(start) + n(40) + n(width) + n(height) + n(1, 2) + n(bits, 2) + n(compression) + bytes(20) + palette + rows
+
+
+def test_bitmaps_of_all_depths():
+    colours = b"".join(bytes([i, 2 * i % 256, 3 * i % 256, 0]) for i in range(256))
+    of = lambda i: [3 * i % 256, 2 * i % 256, i]
+    assert media.decode(bitmap(1, -1, bytes([0b01000000, 0, 0, 0]), colours[:8])).tolist() == [[of(0), of(1)]]
+    assert media.decode(bitmap(4, -1, bytes([0x5A, 0, 0, 0]), colours[:64])).tolist() == [[of(5), of(10)]]
+    assert media.decode(bitmap(8, -1, bytes([200, 7, 0, 0]), colours)).tolist() == [[of(200), of(7)]]
+    assert media.decode(bitmap(32, -1, bytes([1, 2, 3, 9, 4, 5, 6, 9]))).tolist() == [[[3, 2, 1], [6, 5, 4]]]
+    assert media.decode(bitmap(32, -1, bytes([1, 2, 3, 9, 4, 5, 6, 9]), bytes([0, 0, 255, 0, 0, 255, 0, 0, 255, 0, 0, 0]), 3)).tolist() == [[[3, 2, 1], [6, 5, 4]]]
+    top_down, bottom_up = (media.decode(bitmap(24, h, bytes([1, 2, 3, 4, 5, 6, 0, 0]) + bytes([7, 8, 9, 10, 11, 12, 0, 0]))) for h in (-2, 2))
+    assert (top_down == bottom_up[::-1]).all() and top_down[0].tolist() == [[3, 2, 1], [6, 5, 4]]
+    with pytest.raises(ValueError):  # other masks than those of blue, green and red
+        media.decode(bitmap(32, -1, bytes(8), bytes([255, 0, 0, 0, 0, 255, 0, 0, 0, 0, 255, 0]), 3))
+
+
+def test_bands_make_no_difference():
+    image = np.random.default_rng(2).integers(0, 256, (97, 64, 1)).astype(np.uint8)
+    assert all((media.area_resize(image, 8, 9, n) == media.area_resize(image, 8, 9)).all() for n in (1, 3000, 20_000))
