@@ -11,12 +11,14 @@ Exact, for whole texts, by suffix sorting of those parts of the corpus that can
    and equal strings have equal cores, so step 2 is taken again with cores for anchors: mostly parts at the
    edge of a repeat are left.
 4. Parts are dealt by core to shards, whose suffixes are sorted by external induced sorting; neighbours with a common
-   prefix of ``width`` or more are repeats. Shards get SHARD bytes or so. A core with more than HOT different
-   parts is no shard's: its strings are counted one by one by their hashes.
+   prefix of ``width`` or more are repeats. Shards get SHARD bytes or so, and a larger one is sorted on disk. A core with more
+   than HOT different parts, as a passage makes that very many texts share, is no one task's: its parts are cut
+   into single strings, which are counted by two hashes wherever they fall.
 5. Removed runs are the union of repeated strings; texts that have any are cut, others keep their bytes.
 
-Texts are shuffled only if they have a segment to sort or a byte to remove: Bloom filters of fixed size tell, and what
-they let through in error is dropped by a join. 64-bit hashes stand for 64-byte strings and pairs of them for texts.
+Texts are shuffled only if they have a segment to sort or a byte to remove: Bloom filters tell, which grow with what is
+wanted up to BLOOM_BITS; what they let through in error, more and more beyond that, is dropped by a join. 64-bit hashes stand
+for 64-byte strings and pairs of them for texts.
 A null text counts as empty; an empty or short one is never touched; repeated rows and doc_ids are texts in other places.
 """
 
@@ -30,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, powers, prefix_hashes, prepare_workers, text_buffers
+from .common import U64, discard, long_hashes, map_batches, materialize, mix, prepare_workers, scratch_dir, sweep, text_buffers, windows
 from .inducedsort import repeated
 
 GRAM = 64
 CHUNK = 48
-SHARD, HOT = 4 << 20, 5_000
-#: Bits of a Bloom filter, and of each part of it that a task builds.
-BLOOM_BITS, BLOOM_PART = 1 << 24, 1 << 15
+SHARD, HOT = 2 << 20, 5_000
+#: Most bits of a Bloom filter (16 MB where it is sent), and of each part of it that a task builds.
+BLOOM_BITS, BLOOM_PART = 1 << 27, 1 << 18
 _SLICE = 2 << 20
 
 
@@ -55,9 +57,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
         n = len(part) - width + 1  # starts
         if n <= 0:
             break
-        sums = prefix_hashes(part)
-        down = powers("down", len(part) + 1)
-        gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(part) - GRAM + 1])
+        gram = windows(part, GRAM)
         value = (gram >> U64(23) << U64(23)) | np.arange(len(gram), dtype=U64)
         pad = np.full(-len(gram) % window, ~U64(0))
         grid = np.concatenate([value, pad]).reshape(-1, window)
@@ -77,7 +77,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
         stop = stop[np.searchsorted(stop, first, "right")]
         stop = np.minimum(stop, offsets[text[first] + 1] - width + 1 - a)
         size = stop - first + width - 1
-        seg = mix((sums[first + size] - sums[first]) * down[first] + size.astype(U64))
+        seg = long_hashes(gram, GRAM, first, size)
         out.append((text[first], gram[anchor[first]], seg, first + a - offsets[text[first]], anchor[first] - first, stop - first))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, U64, U64, np.int64, np.int64, np.int64))
@@ -101,12 +101,13 @@ def _reduce(docs: DataFrame, width: int) -> DataFrame:
 
     if width - GRAM + 1 > 1023:
         raise ValueError("width is 64 to 1086")
-    return docs.select(*keys(F.col("text")), "text").mapInArrow(run, "k1 long, k2 long, gram array<long>, seg array<long>, at array<long>")
+    return map_batches(docs.select(*keys(F.col("text")), "text"), run, "k1 long, k2 long, gram array<long>, seg array<long>, at array<long>")
 
 
 def bloom(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of the k1 of wanted: BLOOM_BITS bits, built in parts by tasks; the driver gets just these bits."""
-    places = wanted.select(F.pmod("k1", F.lit(BLOOM_BITS)).cast("int").alias("p"))
+    """A Bloom filter of the k1 of wanted: 16 to 32 bits for each but no more than BLOOM_BITS, built in parts by tasks; the driver gets just these bits."""
+    size = min(BLOOM_BITS, max(1 << 20, 1 << (16 * wanted.count()).bit_length()))
+    places = wanted.select(F.pmod("k1", F.lit(size)).cast("int").alias("p"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -117,16 +118,16 @@ def bloom(wanted: DataFrame) -> np.ndarray:
                 bits[p[p // BLOOM_PART == part] % BLOOM_PART] = True
         yield pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.int32()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
 
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     dealt = places.distinct().repartition(16, F.floor(F.col("p") / BLOOM_PART))
-    for part, bits in dealt.mapInArrow(build, "part int, bits binary").collect():
+    for part, bits in map_batches(dealt, build, "part int, bits binary").collect():
         out[part * BLOOM_PART // 8 : (part + 1) * BLOOM_PART // 8] |= np.frombuffer(bits, np.uint8)
     return out
 
 
 def hits(bits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Which keys a Bloom filter lets through."""
-    p = np.mod(wanted, BLOOM_BITS)
+    p = np.mod(wanted, 8 * len(bits))
     return (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -138,7 +139,7 @@ def _texts(docs: DataFrame, filter_bits: np.ndarray) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(hits(sent.value, batch.column(0).to_numpy())))
 
-    passed = docs.select(*keys(F.col("text")), F.col("text").cast("binary").alias("text")).mapInArrow(run, "k1 long, k2 long, text binary")
+    passed = map_batches(docs.select(*keys(F.col("text")), F.col("text").cast("binary").alias("text")), run, "k1 long, k2 long, text binary")
     return passed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
@@ -151,11 +152,12 @@ def parts_of(raw: np.ndarray, offsets: np.ndarray, ahead: np.ndarray, width: int
     j = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     first = np.maximum(0, ahead[row] - j * CHUNK - CHUNK + 1)
     last = np.minimum(starts[row] - 1, ahead[row] - j * CHUNK)
-    sums, down = prefix_hashes(raw), powers("down", len(raw) + 1)
+    grain = GRAM if width - CHUNK + 1 >= GRAM else 8
+    hashes = windows(raw, grain)
     core = offsets[:-1][row] + ahead[row] - j * CHUNK
     at, size = offsets[:-1][row] + first, last - first + width
-    cores = mix((sums[core - CHUNK + 1 + width] - sums[core]) * down[core] + j.astype(U64))
-    return row, cores, mix((sums[at + size] - sums[at]) * down[at] + size.astype(U64)), first, last - first + 1
+    cores = mix(long_hashes(hashes, grain, core, np.full(len(core), width - CHUNK + 1)) + j.astype(U64))
+    return row, cores, long_hashes(hashes, grain, at, size), first, last - first + 1
 
 
 def _parts(segments: DataFrame, width: int, bits: np.ndarray | None = None) -> DataFrame:
@@ -177,18 +179,19 @@ def _parts(segments: DataFrame, width: int, bits: np.ndarray | None = None) -> D
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *extra], names)
 
     types = "core long, part long, k1 long, k2 long, first long, starts long" + ", bytes binary" * (bits is not None)
-    return segments.select("k1", "k2", "first", "ahead", "bytes").mapInArrow(run, types)
+    return map_batches(segments.select("k1", "k2", "first", "ahead", "bytes"), run, types)
 
 
 def _shard_repeats(segments: DataFrame, width: int, shards: int) -> DataFrame:
     """(k1, k2, first, starts) of repeated strings, from (core, k1, k2, first, bytes); shards are sorted side by side."""
+    folder = scratch_dir(segments.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         whole = pa.Table.from_batches(held)
-        found = repeated(whole["bytes"].to_pylist(), width)
+        found = repeated(whole["bytes"].to_pylist(), width, folder=folder)
         source, first, starts = [], [], []
         for i, mark in enumerate(found):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.view(np.int8), [0]])))
@@ -201,7 +204,7 @@ def _shard_repeats(segments: DataFrame, width: int, shards: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "first", "starts"])
 
     dealt = segments.repartition(shards, "core").select("k1", "k2", "first", "bytes")
-    return dealt.mapInArrow(run, "k1 long, k2 long, first long, starts long")
+    return map_batches(dealt, run, "k1 long, k2 long, first long, starts long")
 
 
 def _counted_repeats(segments: DataFrame, width: int) -> DataFrame:
@@ -210,25 +213,24 @@ def _counted_repeats(segments: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffers(batch.column(3))
-            sums, down = prefix_hashes(raw), powers("down", len(raw) + 1)
-            flip = prefix_hashes(raw ^ np.uint8(0x55))
+            half = 1 << (width.bit_length() - 1)  # two of these cover a string
             starts = np.maximum(np.diff(offsets) - width + 1, 0)
             row = np.repeat(np.arange(len(starts)), starts)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
             p = offsets[:-1][row] + nth
-            h = [mix((s[p + width] - s[p]) * down[p]).view(np.int64) for s in (sums, flip)]
+            h = [mix(w[p] * U64(0xD6E8FEB86659FD93) + w[p + width - half]).view(np.int64) for w in (windows(raw, half, seed) for seed in (1, 2))]
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(batch.column(2).to_numpy()[row] + nth), pa.array(h[0]), pa.array(h[1])], ["k1", "k2", "first", "h1", "h2"]
             )
 
-    strings = segments.select("k1", "k2", "first", "bytes").mapInArrow(run, "k1 long, k2 long, first long, h1 long, h2 long")
+    strings = map_batches(segments.select("k1", "k2", "first", "bytes"), run, "k1 long, k2 long, first long, h1 long, h2 long")
     often = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     return strings.join(often, ["h1", "h2"]).select("k1", "k2", "first", F.lit(1).cast("long").alias("starts"))
 
 
 def find_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
-    """(k1, k2, whole boolean, places array<long>) of each distinct text with a repeat, from docs (text).
+    """(k1, k2, whole boolean, places array<long>) of each distinct text with a repeat, from docs (text), written.
 
     whole: several rows have this text, so all its strings are repeated. A place is first start * 2**20 + starts.
     """
@@ -239,18 +241,19 @@ def find_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     spread = texts.select("k1", "k2", F.explode(F.arrays_zip("gram", "seg", "at")).alias("x")).select("k1", "k2", "x.gram", "x.seg", "x.at")
     kinds = spread.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "at")).alias("example"))
     repeats = kinds.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1).select("gram", "kinds")
-    found = materialize(kinds.join(repeats, "gram"), "repeated-anchors")
+    found = anchored = materialize(kinds.join(repeats, "gram"), "repeated-anchors")
 
     direct = spread.join(found.where("n > 1").select("gram", "seg"), ["gram", "seg"])
     direct = direct.select("k1", "k2", F.shiftright("at", 20).alias("first"), F.col("at").bitwiseAND(F.lit(1023)).alias("starts"))
 
     wanted = found.where("kinds > 1").select("example.*").groupBy("k1", "k2").agg(F.collect_list("at").alias("ats"))
-    wanted = materialize(wanted, "open-segments")
+    opened = wanted = materialize(wanted, "open-segments")
     segments = _texts(docs, bloom(wanted)).join(wanted, ["k1", "k2"]).select("k1", "k2", "text", F.explode("ats").alias("at"))
     piece = F.expr(f"substring(text, CAST(shiftright(at, 20) AS INT) + 1, CAST(at & 1023 AS INT) + {width - 1})")
     ahead = F.shiftright("at", 10).bitwiseAND(F.lit(1023))
     segments = materialize(segments.select("k1", "k2", F.shiftright("at", 20).alias("first"), ahead.alias("ahead"), piece.alias("bytes")), "segments")
 
+    discard(opened)
     parts = materialize(_parts(segments, width), "parts")
     kinds = parts.groupBy("core", "part").agg(F.count(F.lit(1)).alias("n"))
     cores = kinds.groupBy("core").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1).select("core", "kinds")
@@ -260,12 +263,16 @@ def find_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     shown = _parts(segments, width, bloom(open_.select(F.col("core").alias("k1")))).groupBy("core", "part")
     shown = shown.agg(F.first(F.struct("k1", "k2", "first", "bytes")).alias("x")).join(open_, ["core", "part"])
     shown = materialize(shown.select("core", "hot", "x.*"), "open-parts")
+    discard(segments)
     size = shown.agg(F.sum(F.octet_length("bytes") + 1)).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD))
     marks = direct.unionByName(equal).unionByName(_shard_repeats(shown.where("NOT hot"), width, shards)).unionByName(_counted_repeats(shown.where("hot"), width))
     marks = marks.groupBy("k1", "k2").agg(F.collect_list(F.col("first") * (1 << 20) + F.col("starts")).alias("places"))
     copies = texts.where("n > 1").select("k1", "k2", F.lit(True).alias("whole"))
-    return marks.join(copies, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", F.lit(False)).alias("whole"), "places")
+    out = materialize(marks.join(copies, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", F.lit(False)).alias("whole"), "places"), "repeats")
+    discard(texts, anchored, parts, found, shown)
+    sweep(spark)
+    return out
 
 
 def removed_runs(size: int, width: int, whole: bool, places: list[int] | np.ndarray) -> np.ndarray:
@@ -284,7 +291,7 @@ def removed_runs(size: int, width: int, whole: bool, places: list[int] | np.ndar
 
 def cut_texts(docs: DataFrame, width: int = 400) -> DataFrame:
     """(k1, k2, n_bytes, n_removed, n_spans long, kept binary, left string: kept without parts of characters) of each distinct text of docs with a repeat."""
-    repeats = materialize(find_repeats(docs, width), "repeats")
+    repeats = find_repeats(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +306,7 @@ def cut_texts(docs: DataFrame, width: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept", "left"])
 
     texts = _texts(docs, bloom(repeats)).join(repeats, ["k1", "k2"])
-    return texts.select("k1", "k2", "text", "whole", "places").mapInArrow(run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary, left string")
+    return map_batches(texts.select("k1", "k2", "text", "whole", "places"), run, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary, left string")
 
 
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:

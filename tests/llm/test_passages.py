@@ -13,19 +13,41 @@ def brute_marks(segments, width):
     return [[i + width <= len(s) and count[s[i : i + width]] > 1 for i in range(len(s))] for s in segments]
 
 
-def test_sorter_gives_suffixes_and_common_prefixes():
+@pytest.mark.parametrize("memory", [0, 1 << 14, 1 << 20])
+def test_sorter_gives_suffixes_and_common_prefixes(memory):
     r = random.Random(3)
     for t in range(60):
-        text = [r.randrange(r.choice([1, 2, 4])) + 2 for _ in range(r.randint(1, 150))] + [0]
-        runs = list(inducedsort.Sorter(np.array(text, np.int16), 1000, memory=r.choice([0, 1 << 20])))[::-1]
+        kinds, size = r.choice([1, 2, 4, 200]), r.choice([10, 150, 900])
+        text = [r.randrange(kinds) + 2 for _ in range(r.randint(1, size))] + [0]
+        if t % 3 == 0:
+            text = text[:-1] * 3 + [0]
+        array = np.array(text + [0] * 4, np.int16)
+        runs = list(inducedsort.Sorter(array, len(text), 5000, inducedsort.Scratch(memory)).descending())
         order = np.concatenate([p for p, _ in runs]).tolist()
-        assert order == sorted(range(len(text)), key=lambda i: text[i:])[1:]
-        for positions, prefixes in runs:
-            for k in range(1, len(positions)):
-                a, b, n = int(positions[k - 1]), int(positions[k]), 0
-                while max(a, b) + n < len(text) and text[a + n] == text[b + n]:
-                    n += 1
-                assert prefixes[k] == n
+        assert order == sorted(range(len(text)), key=lambda i: text[i:])[:0:-1]
+        prefixes = np.concatenate([x for _, x in runs]).tolist()
+        for k in range(1, len(order)):
+            a, b, n = order[k - 1], order[k], 0
+            while max(a, b) + n < len(text) and text[a + n] == text[b + n]:
+                n += 1
+            assert prefixes[k] == n
+
+
+def test_shards_far_larger_than_memory():
+    """128 KB in memory, 250 KB of text: names are sorted by recursion, and tuples and arrays go to disk."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    base = r.integers(97, 101, 90_000, dtype=np.uint8)
+    segments = [base.tobytes(), base[20_000:70_000].tobytes() + b"!" + base[:30_000].tobytes(), r.integers(97, 99, 40_000, dtype=np.uint8).tobytes(), b"ab" * 20_000]
+    width = 60
+    expected = brute_marks(segments, width)
+    tracemalloc.start()
+    got = inducedsort.repeated(segments, width, memory=128 << 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in got] == expected
+    assert peak < 3 << 20  # in memory, positions and prefixes of 250 KB alone take more
 
 
 def test_repeated_in_memory_and_on_disk():
