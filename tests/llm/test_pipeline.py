@@ -38,3 +38,23 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
 def test_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries.QUERIES} and "pipeline" in names
+
+
+def test_no_documents_and_further_columns(spark, odd, tmp_path):
+    """Empty tables go through all stages; columns named as operators name theirs stay until the last stage."""
+    odd.where("false").write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "empty" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+    r = random.Random(4)
+    texts = [" ".join(f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnr')}{r.randrange(9)}" for _ in range(80)) for _ in range(12)]
+    more = [c for c in odd.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    rows = [(i, t, "en", None, None, *["x"] * len(more)) for i, t in enumerate([*texts, texts[0], texts[0]])] + [(None, None, None, None, None, *[None] * len(more))]
+    path = str(tmp_path / "more")
+    spark.createDataFrame(rows, odd.schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, path).write.parquet(f"{path}/stage{i}")
+        docs = spark.read.parquet(f"{path}/stage{i}")
+        assert docs.columns == odd.columns
+    assert sorted(x.doc_id for x in docs.collect()) == list(range(12))
