@@ -88,11 +88,31 @@ def prepare_workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a worker keeps of an operator's models from task to task, by the operator's module; it goes when another operator's task begins."""
+    return _CACHES.setdefault(owner, {})
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema), whose workers give back the memory that they don't need any more at a task's end."""
+    """df.mapInArrow(run, schema), whose workers give back the memory that they don't need any more.
+
+    Workers outlive tasks: models of other operators go when a task begins, and broadcast values, which are read again
+    from the executor's file, when it ends.
+    """
+    owner = run.__module__
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.core.broadcast import _broadcastRegistry
+
+        for other in [k for k in _CACHES if k != owner]:
+            del _CACHES[other]
         yield from run(batches)
+        for value in _broadcastRegistry.values():
+            if getattr(value, "_path", None):
+                value.__dict__.pop("_value", None)
         gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

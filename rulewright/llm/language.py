@@ -23,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, map_batches, prepare_workers, text_buffers
+from .common import LOWER, fold, map_batches, prepare_workers, text_buffers, worker_cache
 
 BLOCK = 512
 #: Bytes below which phrase limits don't apply: a number or a key may be most of such a text.
 SHORT = 128
 #: Set in a transition that begins a phrase.
 BEGINS = 1 << 30
-_BUILT: dict[tuple, tuple] = {}
 
 
 def suffix_automaton(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -184,14 +183,14 @@ def predict(raw: np.ndarray, offsets: np.ndarray, sample: dict[str, bytes], limi
     found, scores = letters(raw, offsets), np.zeros(len(offsets) - 1)
     if not langs or not len(scores):
         return ["und"] * len(scores), scores
-    costs = []
+    costs, built = [], worker_cache(__name__)
     for lang in langs:
         key = (lang, sample[lang])
-        if key not in _BUILT:
-            if len(_BUILT) > 64:
-                _BUILT.clear()
-            _BUILT[key] = suffix_automaton(sample[lang].translate(LOWER.tobytes()))
-        costs.append(count_phrases(raw, offsets, _BUILT[key]) * math.log2(len(sample[lang]) + 1) / 15)
+        if key not in built:
+            if len(built) > 64:
+                built.clear()
+            built[key] = suffix_automaton(sample[lang].translate(LOWER.tobytes()))
+        costs.append(count_phrases(raw, offsets, built[key]) * math.log2(len(sample[lang]) + 1) / 15)
     cost = np.array(costs)
     best = cost.min(axis=0)
     scores[found] = (1 / np.exp(-(cost - best) / (1 + np.sqrt(best))).sum(axis=0))[found]

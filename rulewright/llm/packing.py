@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, prepare_workers
+from .common import map_batches, materialize, prepare_workers, worker_cache
 
 #: Words after which a worker's memo grows old (it keeps the one before, too), and pieces ranked in one group.
-MEMO, GROUP = 200_000, 500_000
-_TOKENIZERS: dict[int, WordTokens] = {}
+MEMO, GROUP = 100_000, 500_000
 
 _KNOWN = [c for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] if c != 0x130]
 
@@ -122,12 +121,13 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         key = zlib.crc32(sent.value.encode())
-        if key not in _TOKENIZERS:
-            _TOKENIZERS[key] = WordTokens(sent.value)
+        tokenizers = worker_cache(__name__)
+        if key not in tokenizers:
+            tokenizers[key] = WordTokens(sent.value)
         last, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             source, piece, length, crc, ids = [], [], [], [], []
-            for i, x in enumerate(_TOKENIZERS[key]([t or "" for t in batch.column(1).to_pylist()])):
+            for i, x in enumerate(tokenizers[key]([t or "" for t in batch.column(1).to_pylist()])):
                 x += last
                 for n, a in enumerate(range(0, len(x), step)):
                     part = x[a : a + step]
