@@ -100,8 +100,16 @@ def stratum() -> Column:
     return sum(((F.col("n_words") >= b).cast("int") for b in BANDS), F.lit(0))
 
 
+#: Successes up to which a binomial probability is summed; beyond, it is bounded from above.
+SUMMED = 1000
+
+
 def at_most(x: Column, n: Column, risk: float) -> Column:
-    """Exact binomial probability of x successes or fewer among n at rate risk; 1 where x / n isn't below risk."""
+    """Exact binomial probability of x successes or fewer among n at rate risk; 1 where x / n isn't below risk.
+
+    Beyond SUMMED successes an upper bound of it, so that a bound never certifies what the exact probability wouldn't: the last
+    term, its factorials bounded by Stirling's series, times the geometric series of the greatest ratio of terms.
+    """
 
     def step(s: Column, k: Column) -> Column:
         def add(term: Column) -> Column:
@@ -111,8 +119,16 @@ def at_most(x: Column, n: Column, risk: float) -> Column:
         return _let(s.term + F.log((n - k + 1) / k.cast("double")) + math.log(risk / (1 - risk)), add)
 
     first = n * math.log1p(-risk)
-    ks = F.when(x >= 1, F.sequence(F.lit(1).cast("long"), x)).otherwise(F.array().cast("array<long>"))
-    log = F.aggregate(ks, F.struct(first.alias("term"), first.alias("sum")), step, lambda s: s.sum)
+    ks = F.when((x >= 1) & (x <= SUMMED), F.sequence(F.lit(1).cast("long"), x)).otherwise(F.array().cast("array<long>"))
+    summed = F.aggregate(ks, F.struct(first.alias("term"), first.alias("sum")), step, lambda s: s.sum)
+
+    def factorial(k: Column, above: bool) -> Column:
+        return k * F.log(k) - k + F.log(2 * math.pi * k) / 2 + 1 / (12 * k + (0 if above else 1))
+
+    k, m = x.cast("double"), n.cast("double")
+    last = factorial(m, True) - factorial(k, False) - factorial(m - k, False) + k * math.log(risk) + (m - k) * math.log1p(-risk)
+    bound = last - F.log1p(-k * (1 - risk) / ((m - k + 1) * risk))
+    log = F.when(x <= SUMMED, summed).otherwise(bound)
     return F.when((n > 0) & (x < n * risk), F.least(F.lit(1.0), F.exp(log))).otherwise(F.lit(1.0))
 
 

@@ -92,3 +92,19 @@ def test_too_few_labels_reject_nothing(docs, spark, none):
     kept = {r.doc_id for r in quality.filter_quality(docs, labels).collect()}
     assert kept == {r.doc_id for r in counted.where("NOT base_failed").collect()}
     assert quality.filter_quality(none, labels.where("false")).collect() == []
+
+
+def test_many_false_rejections_are_bounded_from_above(spark):
+    """Beyond the terms that are summed: never less than the exact probability, and close to it where it matters."""
+    cases = [(1001, 120_000, 0.01), (1500, 170_000, 0.01), (5000, 540_000, 0.01), (40_000, 4_100_000, 0.01), (1999, 200_000, 0.01)]
+
+    def exact(x, n, p):
+        logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(max(0, x - 5000), x + 1)]
+        return sum(math.exp(v) for v in logs)
+
+    for x, n, p in cases:
+        (got,) = spark.range(1).select(quality.at_most(F.lit(x).cast("long"), F.lit(n).cast("long"), p)).first()
+        want = exact(x, n, p)
+        assert want * (1 - 1e-6) <= got and (want > 0.02 or got <= 1.5 * want)
+    (seam,) = spark.range(1).select(quality.at_most(F.lit(1000).cast("long"), F.lit(120_000).cast("long"), 0.01)).first()
+    assert abs(seam / exact(1000, 120_000, 0.01) - 1) < 1e-6
