@@ -20,10 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import U64, map_batches, mix, prepare_workers, span_hashes
+from .common import U64, map_batches, mix, prepare_workers, span_hashes, worker_cache
 
 MEMO = 400_000
-_LOADED: dict[str, Codec] = {}
 
 
 class PerfectHash:
@@ -86,7 +85,7 @@ class Codec:
         self.old: dict[str, tuple[int, ...]] = {}  # the memo before this one
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a piece that isn't a token itself."""
+        """Ids of a piece that isn't a token itself; a byte that has no token of its own and is merged into none is a KeyError."""
         ranks, n = self.ranks, len(piece)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
@@ -133,9 +132,10 @@ class Codec:
 def codec(ranks_file: bytes, pattern: str) -> Codec:
     """The worker's codec of these ranks, built once."""
     key = hashlib.sha256(ranks_file + pattern.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED[key] = Codec(ranks_file, pattern)
-    return _LOADED[key]
+    loaded = worker_cache(__name__)
+    if key not in loaded:
+        loaded[key] = Codec(ranks_file, pattern)
+    return loaded[key]
 
 
 def _with(df: DataFrame, made: str, kind: str, make, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
