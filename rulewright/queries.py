@@ -458,3 +458,21 @@ def _lists(query: str, make: Callable[[FilterIntegration], list[str]], oracle: s
 _TYPES = "SELECT unnest(['click', 'view', 'error', 'signup', 'purchase']) AS value"
 _lists("x_fst_values", lambda f: f.fst_values(), f"SELECT DISTINCT value FROM ({_TYPES} UNION ALL SELECT CAST(i AS VARCHAR) FROM range(40) t(i) WHERE i % 4 = 3 UNION ALL SELECT CAST(i % 10 AS VARCHAR) FROM range(40) t(i) WHERE i % 4 = 1 UNION ALL SELECT CAST(i % 9 + 1 AS VARCHAR) FROM range(40) t(i) WHERE i % 4 = 2)")
 _lists("x_selective_patterns", lambda f: f.selective_patterns(0.1), f"{_TYPES} UNION ALL SELECT CAST(i AS VARCHAR) FROM range(40) t(i) WHERE i % 4 = 3")
+
+
+def _routed() -> FilterIntegration:
+    """Sinks filled while rules compile."""
+    found = FilterIntegration()
+    selections = {"a": "{A: [x, y]}", "b": "{'B|contains': x, 'B|re': 'r+'}", "c": "{'C|startswith|lowercase': z, 'D|endswith': 'p*'}"}
+    DetectionEngine.builder().register_hook(Phase.PRIMITIVE_DISCOVERY, found.hook()).build([rule(1, "a and b and c", **selections)])
+    return found
+
+
+_told("x_hook_routing", lambda: [(k, v) for k, values in _routed().values.items() for v in sorted(values)], [
+    ("aho_corasick", "x"), ("aho_corasick", "y"), ("aho_corasick", "z"), ("fst", "x"), ("fst", "y"), ("fst", "z"), ("regex", "r+"), ("bloom", "x"), ("bloom", "y"), ("bloom", "z"),
+])
+_told("x_pattern_order", lambda: [(str(i), f"{v} {s:.3f}") for i, (v, s) in enumerate(_routed().aho_corasick_patterns())], [("0", "x 0.360"), ("1", "y 0.120"), ("2", "z 0.264")])
+_told("x_statistics", lambda: [(k, f"{v:.3f}" if isinstance(v, float) else str(v)) for k, v in _routed().statistics().items() if k != "distribution"] + list((k, str(v)) for k, v in _routed().distribution().items()), [
+    ("aho_corasick", "3"), ("fst", "3"), ("filter", "0"), ("regex", "1"), ("bloom", "3"), ("xor", "0"), ("zero_copy", "0"), ("average_selectivity", "0.336"), ("most_frequent_field", "A"), ("unique_fields", "3"),
+    ("0.1", "1"), ("0.2", "1"), ("0.3", "1"), ("0.6", "1"),
+])
