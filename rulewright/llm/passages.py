@@ -119,7 +119,7 @@ def bloom(wanted: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(parts.keys(), pa.int32()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
 
     out = np.zeros(size // 8, np.uint8)
-    dealt = places.distinct().repartition(16, F.floor(F.col("p") / BLOOM_PART))
+    dealt = places.repartition(16, F.floor(F.col("p") / BLOOM_PART))
     for part, bits in map_batches(dealt, build, "part int, bits binary").collect():
         out[part * BLOOM_PART // 8 : (part + 1) * BLOOM_PART // 8] |= np.frombuffer(bits, np.uint8)
     return out

@@ -18,7 +18,7 @@ they then share an element in both their prefixes, the first s - ceil(percent s
    meet there, early enough in both, are compared. The hub's own peculiarities would be common to all differences; so they
    are taken again from the group's centre, the set nearest to what most of the group have.
 4. Hubs and the sets near them leave their blocks. While a block still has sets of several components, it gets new hubs,
-   four times as many each time. Blocks of one component are closed, and pairs already connected are not compared.
+   sixteen times as many each time. Blocks of one component are closed, and pairs already connected are not compared.
 
 Equal sets count as one set. 64-bit hashes of the words stand for shingles, and for sets the sum of their mixed elements.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, discard, map_batches, materialize, mix, prepare_workers, shingles, sorted_by, sweep, text_buffers
-from .graph import components
+from .graph import components, small
 from .passages import bloom, hits
 
 #: Counters of the sketch: 4 MB where it is sent, whatever the input. With more shingles counters are shared by more of them:
@@ -274,7 +274,7 @@ def _relate(pairs: DataFrame, elements: DataFrame, percent: int, with_difference
     names = ["a", "b", "sa", "sb", "d", "linked", *["difference"] * (with_differences != "none")]
     types = "a long, b long, sa long, sb long, d long, linked boolean" + ", difference array<long>" * (with_differences != "none")
     pairs = materialize(pairs.select("a", "b"), "pairs")
-    a, b = (_passing(elements, "sid", pairs.select(k).distinct()).select(F.col("sid").alias(k), F.col("elements").alias(f"e{k}")) for k in "ab")
+    a, b = (_passing(elements, "sid", pairs.select(k)).select(F.col("sid").alias(k), F.col("elements").alias(f"e{k}")) for k in "ab")
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "ea", "eb", reach(F.octet_length("ea") / 8, percent).cast("long"))
     out = materialize(map_batches(joined, run, types), "relations")
     discard(pairs)
@@ -290,7 +290,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def _rooted(df: DataFrame, key: str, roots: DataFrame, name: str) -> DataFrame:
     """df with the component of its key column, itself where it has no links."""
-    out = df.join(roots.select(F.col("id").alias(key), F.col("root").alias("__root")), key, "left")
+    named = roots.select(F.col("id").alias(key), F.col("root").alias("__root"))
+    named.__dict__["_rulewright_small"] = roots.__dict__.get("_rulewright_small")
+    out = df.join(small(named), key, "left")
     return out.withColumn(name, F.coalesce("__root", key)).drop("__root")
 
 
@@ -340,7 +342,7 @@ def _screen(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             ok = [difference_at_least(x, y) <= most for x, y, most in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    a, b = (_passing(marks, "sid", pairs.select(k).distinct()) for k in "ab")
+    a, b = (_passing(marks, "sid", pairs.select(k)) for k in "ab")
     a = a.select(F.col("sid").alias("a"), F.col("mark").alias("ma"), reach(F.col("size"), percent).cast("long").alias("most"))
     b = b.select(F.col("sid").alias("b"), F.col("mark").alias("mb"))
     return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb", "most"), run, "a long, b long")
@@ -355,10 +357,14 @@ def _screened(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     marks = sets.where("length(mark) > 0").select("sid", "size", "mark")
     marks = materialize(_passing(marks, "sid", blocks.select("sid").distinct()).dropDuplicates(["sid"]), "marks")
     discard(sets)
-    for k in range(32):
-        hubs = materialize(_hubs(blocks, 1 << 2 * k, k), "hubs")
-        members = _passing(blocks, "block", hubs.select("block").distinct()).join(hubs, "block")
+    for k in range(16):
+        hubs = materialize(_hubs(blocks, 1 << 4 * k, k), "hubs")
+        if k == 0:
+            sweep(spark)
+        members = _passing(blocks, "block", hubs.select("block")).join(hubs, "block")
         met = materialize(members.where("sid <> hub"), "met")
+        if k == 0:
+            sweep(spark)
         pairs = met.where(_apart() <= reach(F.col("size"), percent)).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
         pairs = materialize(pairs, "pairs")
         close = materialize(_screen(pairs, marks, percent), "close")
@@ -403,6 +409,7 @@ def _link_differences(related: DataFrame, elements: DataFrame, roots: DataFrame,
     """(a, b): links between sets in reach of one hub, from their relations to it (a, b, sa, d, linked, difference), but for those already connected."""
     centres = materialize(_centres(related), "centres")
     moved = centres.where("b <> centre")
+    sweep(related.sparkSession)
     pairs = related.select("a", "b").join(moved, "b").select("a", F.col("centre").alias("b")).union(moved.select(F.col("b").alias("a"), F.col("centre").alias("b")))
     again = _relate(pairs.where("a <> b").distinct(), elements, percent, "all")
     found = again.where("linked").select("a", "b")
@@ -415,6 +422,7 @@ def _link_differences(related: DataFrame, elements: DataFrame, roots: DataFrame,
     order = Window.partitionBy("hub", "sid").orderBy("n", "e")
     indexed = parts.join(rare, ["hub", "e"]).withColumn("r", F.row_number().over(order)).where("r <= kept AND n > 1 AND all_linked = 0")
     table = materialize(_rooted(indexed.select("hub", "e", "sid", "sa", "d", (F.col("d") - F.col("r") + 1).alias("left")), "sid", roots, "root"), "differences")
+    sweep(related.sparkSession)
     mixed = table.groupBy("hub", "e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub", "e")
     indexed = table.join(mixed, ["hub", "e"], "left_semi")
     one, two = (indexed.select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "sa", "d", "left", "root")]) for k in "xy")
@@ -447,7 +455,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
     sweep(docs.sparkSession)
     roots = components(links)
     relations: list[DataFrame] = []
-    for k in range(32):
+    for k in range(16):
         rooted = _rooted(members, "sid", roots, "root")
         mixed = rooted.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
         open_ = materialize(members.join(mixed, "block", "left_semi"), "open")
@@ -455,7 +463,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
         if open_.isEmpty():
             discard(open_)
             break
-        met = open_.join(_hubs(open_, 1 << 2 * k, k), "block")
+        met = open_.join(_hubs(open_, 1 << 4 * k, k), "block")
         pairs = met.where((F.col("sid") != F.col("hub")) & (_apart() <= reach(F.col("size"), percent))).select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
         for x in relations:
             pairs = pairs.join(x.select("a", "b"), ["a", "b"], "left_anti")
