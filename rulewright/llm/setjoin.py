@@ -42,6 +42,8 @@ from .passages import bloom, hits
 COUNTERS = 1 << 22
 #: Sets that a task remembers so as not to list them twice.
 SEEN = 1 << 16
+#: Pairs from which on sets are compared in several slices, one after the other, and the most slices: only one slice's shuffles are on disk at a time.
+RELATED, SLICES = 100_000, 4
 
 
 def allowance(total: int, percent: int) -> int:
@@ -275,9 +277,15 @@ def _relate(pairs: DataFrame, elements: DataFrame, percent: int, with_difference
     names = ["a", "b", "sa", "sb", "d", "linked", *["difference"] * (with_differences != "none")]
     types = "a long, b long, sa long, sb long, d long, linked boolean" + ", difference array<long>" * (with_differences != "none")
     pairs = materialize(pairs.select("a", "b"), "pairs")
-    a, b = (_passing(elements, "sid", pairs.select(k)).select(F.col("sid").alias(k), F.col("elements").alias(f"e{k}")) for k in "ab")
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "ea", "eb", reach(F.octet_length("ea") / 8, percent).cast("long"))
-    out = materialize(map_batches(joined, run, types), "relations")
+    n = min(SLICES, max(1, -(-pairs.count() // RELATED)))
+    done = []
+    for k in range(n):
+        mine = pairs.where(F.pmod(F.xxhash64("a"), F.lit(n)) == k) if n > 1 else pairs
+        a, b = (_passing(elements, "sid", mine.select(x)).select(F.col("sid").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
+        joined = mine.join(a, "a").join(b, "b").select("a", "b", "ea", "eb", reach(F.octet_length("ea") / 8, percent).cast("long"))
+        done.append(materialize(map_batches(joined, run, types), "relations"))
+    out = _union(done)
+    out._rulewright_paths = [path for x in done for path in x._rulewright_paths]
     discard(pairs)
     return out
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -144,3 +145,32 @@ def test_graph(spark):
                 changed = True
     assert {x.id: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()} == root
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_pairs_in_slices(spark, corpus, monkeypatch):
+    """Pairs compared slice by slice give the same components, and the shuffles of a written table don't outlive its write."""
+    monkeypatch.setattr(setjoin, "RELATED", 2)
+    names, left, write = [], [], setjoin.materialize
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffles():
+        blocks = manager.getAllBlocks()
+        return {x for x in (blocks.apply(i).toString() for i in range(blocks.size())) if x.startswith("shuffle")}
+
+    def watched(df, name):
+        before = shuffles()
+        out = write(df, name)
+        names.append(name)
+        for _ in range(50):
+            if not shuffles() - before:
+                break
+            time.sleep(0.1)
+        else:
+            left.append(name)
+        return out
+
+    monkeypatch.setattr(setjoin, "materialize", watched)
+    rows = list(enumerate([t for _, t in corpus] + family(0, 20, 60, 3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in setjoin.join_documents(df, 3, 90).collect()), key=repr) == brute(rows, 3, 90)
+    assert ("relations", "relations") in zip(names, names[1:], strict=False) and not left
