@@ -1,8 +1,10 @@
 import random
+from pathlib import Path
 
 import __spark_entry__
 import corpus_pipeline
 from rulewright.llm import queries
+from rulewright.llm.common import shared_dir
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -58,3 +60,30 @@ def test_no_documents_and_further_columns(spark, odd, tmp_path):
         docs = spark.read.parquet(f"{path}/stage{i}")
         assert docs.columns == odd.columns
     assert sorted(x.doc_id for x in docs.collect()) == list(range(12))
+
+
+def test_tables_of_a_stage_go_with_the_next(spark, tmp_path):
+    """Only what a result may still read stays on disk: working tables until the next stage begins, results until the next is written."""
+    r = random.Random(6)
+    rows = [(i, " ".join(f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.randrange(99)}" for _ in range(80)), "en", "s", 0) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = Path(shared_dir(spark).removeprefix("file:"), spark.sparkContext.applicationId)
+    tables = lambda: {p.name for p in folder.glob("*")} - old
+    old = set()
+    corpus_pipeline.run(spark, str(tmp_path))  # also what other tests' stages have left goes
+    old = tables()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 12
+    assert [x.split("-")[0] for x in tables()] == ["stage4"]
+
+    old = {p.name for p in folder.glob("*")}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    judged = corpus_pipeline.judge_quality(spark, docs, str(tmp_path))
+    left = tables()
+    assert any(x.startswith("quality") for x in left)
+    unwritten = corpus_pipeline.drop_near_copies(spark, judged, str(tmp_path))  # reads the tables that judged reads
+    assert any(x.startswith("quality") for x in tables())
+    unwritten.write.parquet(str(tmp_path / "unwritten"))
+    assert spark.read.parquet(str(tmp_path / "unwritten")).count() == 12
+    corpus_pipeline.drop_passages(spark, spark.read.parquet(str(tmp_path / "unwritten")), str(tmp_path))
+    assert not any(x.startswith("quality") for x in tables())
