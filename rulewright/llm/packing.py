@@ -13,10 +13,12 @@ pieces share is no hot key.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import re
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, prepare_workers, worker_cache
 
-#: Words after which a worker's memo grows old (it keeps the one before, too), and pieces ranked in one group.
-MEMO, GROUP = 100_000, 500_000
+#: Words beyond which a worker keeps half as many, those that it has used most, and pieces ranked in one group.
+MEMO, GROUP = 300_000, 500_000
 
 _KNOWN = [c for c in [*range(0x250), *range(0x2010, 0x2028), 0x20AC] if c != 0x130]
 
@@ -36,11 +38,17 @@ def _class(wanted: str) -> str:
     return "".join(re.escape(chr(c)) for c in _KNOWN if unicodedata.category(chr(c))[0] == wanted)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i] to starts[i] + sizes[i] - 1 for each i, concatenated."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordTokens:
     """Ids of texts as little-endian 32-bit bytes, by a tokenizer whose words are encoded one by one.
 
-    Texts of common characters are split here, by the tokenizer's own rule, and each distinct word is encoded once
-    by the tokenizer; any other text is encoded by it as a whole.
+    Texts of common characters are split here, by the tokenizer's own rule, and each distinct word gets a number and is
+    encoded once by the tokenizer; any other text is encoded by it as a whole.
     """
 
     def __init__(self, json: str):
@@ -59,27 +67,45 @@ class WordTokens:
         self.odd = re.compile("[^" + "".join(re.escape(chr(c)) for c in _KNOWN) + "]").search
         self.bare = Tokenizer(self.tool.model)  # for words that are normal and split already
         self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the memo before this one
+        self.numbers: dict[str, int] = defaultdict(itertools.count().__next__)  # of words, from 0, in their order
+        self.ids = np.zeros(0, "<u4")  # of all words, one after the other
+        self.starts, self.sizes, self.used = (np.zeros(0, np.int64) for _ in range(3))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words encoded together, a thousand as one text, and told apart by their last tokens."""
-        out: list[bytes] = []
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has; a thousand are encoded as one text, and told apart by their last tokens."""
+        ids, sizes = [self.ids[:0]], [self.sizes[:0]]
         groups = [words[a : a + 1000] for a in range(0, len(words), 1000)]
         for some, made in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(made.ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-            if len(ends) != len(some) or (len(ends) and ends[-1] != 4 * len(ids)):
-                out += self._encode(some)
-                continue
-            data, start = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(data[start:end])
-                start = end
-        return out
+            ids.append(np.array(made.ids, "<u4"))
+            ends = np.flatnonzero(self.last[ids[-1]]) + 1
+            if len(ends) != len(some) or (len(ends) and ends[-1] != len(ids[-1])):
+                each = self._encode(some)
+                ids[-1] = np.frombuffer(b"".join(each), "<u4")
+                ends = np.cumsum([len(x) // 4 for x in each])
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self) -> None:
+        """Encodes the words that have a number but no ids."""
+        new = list(itertools.islice(reversed(self.numbers), len(self.numbers) - len(self.sizes)))[::-1]
+        ids, sizes = self._encode_words(new)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+
+    def _forget(self) -> None:
+        """Of more than MEMO words the half of MEMO that was used most stays; uses of long ago count less and less."""
+        if len(self.sizes) <= MEMO:
+            return
+        kept = np.argsort(-self.used, kind="stable")[: MEMO // 2]
+        words = list(self.numbers)
+        self.numbers = defaultdict(itertools.count(len(kept)).__next__, {words[k]: i for i, k in enumerate(kept.tolist())})
+        self.ids = self.ids[_ranges(self.starts[kept], self.sizes[kept])]
+        self.sizes, self.used = self.sizes[kept], self.used[kept] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -91,16 +117,16 @@ class WordTokens:
             elif not self.odd(t):
                 plain.append(i)
                 words.append(self.split(t.lower()))
-        distinct = set().union(*words) if words else set()
-        if len(self.memo) > MEMO:
-            self.memo, self.old = {}, self.memo
-        unseen = distinct.difference(self.memo)
-        self.memo.update((w, self.old[w]) for w in unseen.intersection(self.old))
-        new = list(unseen.difference(self.old))
-        self.memo.update(zip(new, self._encode_words(new), strict=True))
-        ids = self.memo.__getitem__
-        for i, w in zip(plain, words, strict=True):
-            out[i] = b"".join(map(ids, w))
+        self._forget()
+        text_ends = np.cumsum([0, *map(len, words)])
+        numbers = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(text_ends[-1]))
+        self._learn()
+        self.used += np.bincount(numbers, minlength=len(self.used))
+        sizes = self.sizes[numbers]
+        data = self.ids[_ranges(self.starts[numbers], sizes)].tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(sizes)])[text_ends]).tolist()
+        for i, a, b in zip(plain, ends[:-1], ends[1:], strict=True):
+            out[i] = data[a:b]
         rest = [i for i in range(len(texts)) if out[i] is None]
         for i, x in zip(rest, self._encode([texts[i] for i in rest]), strict=True):
             out[i] = x

@@ -27,6 +27,19 @@ def test_words_give_the_tokenizers_ids(tool, corpus):
         assert np.frombuffer(got, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_that_are_used_most_stay_known(tool, monkeypatch):
+    """A flood of rare words makes no frequent word be encoded again, and ids stay right while words go."""
+    monkeypatch.setattr(packing, "MEMO", 100)
+    mine = packing.WordTokens(open(PATH, encoding="utf-8").read())
+    encoded, encode = [], mine._encode_words
+    monkeypatch.setattr(mine, "_encode_words", lambda words: encoded.extend(words) or encode(words))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["often é often often often " * 50, *[" ".join("q" + letters[k] + a + b for a in letters[:8] for b in letters) for k in range(6)], "é often qaaa", ""]
+    for text in texts:
+        assert np.frombuffer(mine([text])[0], "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+    assert encoded.count("often") == encoded.count("é") == 1 and encoded.count("qaaa") == 2
+
+
 @lru_cache(None)
 def optimum(items, capacity):
     """Least bins, by trying all."""
