@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, discard, map_batches, materialize, mix, prepare_workers, shingles, sorted_by, sweep, text_buffers
-from .graph import components, small
+from .common import U64, discard, map_batches, materialize, mix, prepare_workers, settle, shingles, sorted_by, sweep, text_buffers
+from .graph import SMALL, components, small
 from .passages import bloom, hits
 
 #: Counters of the sketch: 4 MB where it is sent, whatever the input. With more shingles counters are shared by more of them:
@@ -167,7 +167,7 @@ def describe_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_
     prepare_workers(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(count_ranks(docs.select("text"), width))
-    sweep(docs.sparkSession)
+    settle(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, factor = _Seen(), mark_factor(percent)
@@ -218,6 +218,18 @@ def _passing(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return map_batches(df, run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes))
 
 
+def _described(sets: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
+    """The rows of sets (sid) that stand at one end of pairs, and a few more.
+
+    Ends of few pairs are broadcast as they are: the Python step that compares them may share a stage with this, and a task would hold
+    two Python workers, which live on beside each other.
+    """
+    wanted = pairs.select(F.col(end).alias("k1"))
+    if wanted.count() <= SMALL:
+        return sets.join(F.broadcast(wanted), F.col("sid") == F.col("k1"), "left_semi")
+    return _passing(sets, "sid", wanted)
+
+
 def _elements(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """(sid, elements binary) of the wanted sets, one row each; texts are read again, and none is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.col("sid").alias("k1"))))
@@ -281,7 +293,7 @@ def _relate(pairs: DataFrame, elements: DataFrame, percent: int, with_difference
     done = []
     for k in range(n):
         mine = pairs.where(F.pmod(F.xxhash64("a"), F.lit(n)) == k) if n > 1 else pairs
-        a, b = (_passing(elements, "sid", mine.select(x)).select(F.col("sid").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
+        a, b = (_described(elements, mine, x).select(F.col("sid").alias(x), F.col("elements").alias(f"e{x}")) for x in "ab")
         joined = mine.join(a, "a").join(b, "b").select("a", "b", "ea", "eb", reach(F.octet_length("ea") / 8, percent).cast("long"))
         done.append(materialize(map_batches(joined, run, types), "relations"))
     out = _union(done)
@@ -320,12 +332,12 @@ def _blocks(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(block, sid, size, place): the listings of elements of two sets or more, and a few others, in their blocks, written."""
     often = sets.select(F.explode("prefix").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("e")
     often = materialize(often, "lists")
-    sweep(docs.sparkSession)
+    settle(docs.sparkSession)
     listed = _listings(sets, bloom(often.select(F.col("e").alias("k1"))), percent)
     keys = F.array(F.xxhash64("e", "nth"), F.xxhash64("e", F.col("nth") + 1))
     blocks = materialize(listed.select(F.explode(keys).alias("block"), "sid", "size", "place"), "blocks")
     discard(often)
-    sweep(docs.sparkSession)
+    settle(docs.sparkSession)
     return blocks
 
 
@@ -352,7 +364,7 @@ def _screen(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             ok = [difference_at_least(x, y) <= most for x, y, most in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    a, b = (_passing(marks, "sid", pairs.select(k)) for k in "ab")
+    a, b = (_described(marks, pairs, k) for k in "ab")
     a = a.select(F.col("sid").alias("a"), F.col("mark").alias("ma"), reach(F.col("size"), percent).cast("long").alias("most"))
     b = b.select(F.col("sid").alias("b"), F.col("mark").alias("mb"))
     return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "ma", "mb", "most"), run, "a long, b long")
@@ -419,7 +431,7 @@ def _link_differences(related: DataFrame, elements: DataFrame, roots: DataFrame,
     """(a, b): links between sets in reach of one hub, from their relations to it (a, b, sa, d, linked, difference), but for those already connected."""
     centres = materialize(_centres(related), "centres")
     moved = centres.where("b <> centre")
-    sweep(related.sparkSession)
+    settle(related.sparkSession)
     pairs = related.select("a", "b").join(moved, "b").select("a", F.col("centre").alias("b")).union(moved.select(F.col("b").alias("a"), F.col("centre").alias("b")))
     again = _relate(pairs.where("a <> b").distinct(), elements, percent, "all")
     found = again.where("linked").select("a", "b")
@@ -432,7 +444,7 @@ def _link_differences(related: DataFrame, elements: DataFrame, roots: DataFrame,
     order = Window.partitionBy("hub", "sid").orderBy("n", "e")
     indexed = parts.join(rare, ["hub", "e"]).withColumn("r", F.row_number().over(order)).where("r <= kept AND n > 1 AND all_linked = 0")
     table = materialize(_rooted(indexed.select("hub", "e", "sid", "sa", "d", (F.col("d") - F.col("r") + 1).alias("left")), "sid", roots, "root"), "differences")
-    sweep(related.sparkSession)
+    settle(related.sparkSession)
     mixed = table.groupBy("hub", "e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub", "e")
     indexed = table.join(mixed, ["hub", "e"], "left_semi")
     one, two = (indexed.select("hub", "e", *[F.col(c).alias(f"{c}_{k}") for c in ("sid", "sa", "d", "left", "root")]) for k in "xy")
@@ -451,8 +463,9 @@ def _link_differences(related: DataFrame, elements: DataFrame, roots: DataFrame,
 def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, root) of all sets with links: components of the sets (sid, size, prefix) of docs (text), a written table that is used up."""
     members = _screened(_blocks(docs, sets, percent), sets, percent)
+    settle(docs.sparkSession)
     elements = materialize(_elements(docs, width, members.select("sid").distinct()), "elements")
-    sweep(docs.sparkSession)
+    settle(docs.sparkSession)
 
     # first answers: each set against one of the hubs that it may link to
     met = members.join(_hubs(members, 1, 0), "block").where("sid <> hub")
@@ -489,7 +502,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> Dat
             links, roots = added, components(added)
             discard(*old)
         discard(open_)
-        sweep(docs.sparkSession)
+        settle(docs.sparkSession)
     if relations:
         useful = materialize(_comparable(_union(relations).where("difference IS NOT NULL"), roots, percent), "useful")
         found = _link_differences(useful, elements, roots, percent)

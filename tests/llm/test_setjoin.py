@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rulewright.llm import setjoin
 from rulewright.llm.graph import components
@@ -174,3 +175,16 @@ def test_pairs_in_slices(spark, corpus, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((tuple(r) for r in setjoin.join_documents(df, 3, 90).collect()), key=repr) == brute(rows, 3, 90)
     assert ("relations", "relations") in zip(names, names[1:], strict=False) and not left
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_ends_of_few_pairs_take_no_python_worker(spark, monkeypatch, few):
+    """Sets of few pairs may share a stage with the Python step that compares them; of many pairs all wanted sets come through."""
+    monkeypatch.setattr(setjoin, "SMALL", 40 if few else 39)
+    df = spark.createDataFrame([(i, i % 1000, "x" * (i % 7)) for i in range(3000)], "block long, sid long, text string")
+    found = setjoin._described(df, df.where("block < 40").select(F.col("sid").alias("a")), "a")
+    assert ("MapInArrow" in found._jdf.queryExecution().toString()) != few
+    assert found.dtypes == df.dtypes
+    rows = sorted(map(tuple, found.collect()))
+    wanted = sorted(tuple(x) for x in df.collect() if x.sid < 40)
+    assert rows == wanted if few else set(wanted) <= set(rows)
